@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, quality, token_counts, tool_calls
+from . import exact_dedup, html_extract, mixing, quality, simhash, suffix_index, token_counts, tool_calls
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.chat_records(table(spark, sf_dir, "conversations"))
 
@@ -35,7 +43,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
     "op5_tool_calls": op5_tool_calls,
     "op6_main_text": op6_main_text,
     "op7_mix": op7_mix,

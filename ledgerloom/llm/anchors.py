@@ -111,6 +111,16 @@ def runs(t: np.ndarray, bounds: np.ndarray, k: int, window: int) -> Runs:
     return Runs(start, n, mixed(np.repeat(least[first], parts)), np.searchsorted(bounds, start, "right") - 1, content)
 
 
+def repeats_itself(t: np.ndarray, r: Runs, k: int, window: int) -> np.ndarray:
+    """Which runs have two equal windows: those can only be fewer than window - k + 1 apart."""
+    whole = rolling(t, window) if len(t) >= window else np.empty(0, np.uint64)
+    same = np.zeros(len(whole) + 1, np.int64)
+    for apart in range(1, min(window - k + 1, len(whole))):
+        same[:-1][apart:] |= whole[apart:] == whole[:-apart]
+    same = np.concatenate(([0], np.cumsum(same)))
+    return same[r.start + r.n] > same[r.start]
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about CHUNK bytes."""
     start = size = 0
@@ -227,21 +237,24 @@ def shared_anchors(docs: DataFrame, plan: Plan, tokens, other_document: bool) ->
 
     def anchors(t: pa.Table) -> pa.Table:
         ids, texts = read(t)
-        places, whose = [], []
+        places, whose, again = [], [], []
         at = 0
         for a, b in chunks(texts):
             toks, bounds, _ = tokens(texts[a:b])
             r = runs(toks, bounds, plan.k, plan.window)
             places.append(plan.place(r.anchor))
             whose.append(ids[a + r.doc] if other_document else at + np.arange(len(r.doc)))
+            again.append(np.zeros(len(r.doc), bool) if other_document else repeats_itself(toks, r, plan.k, plan.window))
             at += len(r.doc)
-        place, own = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (places, whose))
+        place, own, again = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (places, whose, again))
         place = place.astype(np.uint64)
         order = np.argsort(place, kind="stable")
         place, own = place[order], own[order]
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(place)) - 1
+        last = np.append(first, len(place))[1:] - 1
         several = own[first] != own[last]
+        if len(first):
+            several |= np.logical_or.reduceat(again[order], first)
         place = place[first]
         edge = np.searchsorted(place, np.arange(len(shard_keys) + 1, dtype=np.uint64) << _U(32))
         some = np.flatnonzero(np.diff(edge))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, quality, simhash, suffix_index, token_counts, tool_calls
+from . import debruijn, decontaminate, exact_dedup, html_extract, mixing, quality, simhash, suffix_index, token_counts, tool_calls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.chat_records(table(spark, sf_dir, "conversations"))
 
@@ -34,6 +38,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,9 +54,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_debruijn_dedup": op4_debruijn_dedup,
     "op5_tool_calls": op5_tool_calls,
     "op6_main_text": op6_main_text,
     "op7_mix": op7_mix,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -1,33 +1,57 @@
-"""A corpus from raw documents: quality, exact copies, near copies, benchmark leaks, mixing."""
+"""A training corpus from raw documents, in five stages.
+
+Every stage takes what its predecessor kept and returns the columns of documents;
+the last adds the number of the copy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, mixing, quality
-from ledgerloom.llm.common import table
+from ledgerloom.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from ledgerloom.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal after lower-casing A-Z the one with the largest id stays."""
     return exact_dedup.drop_exact_copies(docs, keep="max")
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that five-word shingles link at a similarity of 0.8 or more the one with the smallest id stays."""
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("mixing", mixing_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("simhash near-dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
 
-#: Stages on trained models and similarity cannot be put in SQL.
+#: A trained classifier, fingerprints and latent search cannot be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each keeps is cut off from how it came about."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: For DuckDB, with every table of the folder as a view.
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "component_math_status"
+
+
+def query(sql: str | None = None):
+    """Registers a plan under its name, with the SQL that must give the same rows."""
+
+    def register(plan: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[plan.__name__] = plan
+        if sql is not None:
+            ORACLE_SQL[plan.__name__] = sql
+        return plan
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import evidence, links, numbers, quality, reconciliation, sequences, texts  # noqa: E402,F401

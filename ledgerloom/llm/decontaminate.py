@@ -40,6 +40,49 @@ def normal(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_PUNCTUATION)
 
 
+class Vocabulary:
+    """Feature numbers of word hashes, by tables on a few bits of them; words that share an entry go on to a further table."""
+
+    BITS = 18
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.tables: list[np.ndarray] = []
+        rest = np.arange(len(words), dtype=np.int32)
+        while len(rest):
+            table = np.full(1 << self.BITS, -1, np.int32)
+            at = self._entry(words[rest], len(self.tables))
+            table[at] = rest
+            self.tables.append(table)
+            rest = rest[table[at] != rest]
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def _entry(self, words: np.ndarray, n: int) -> np.ndarray:
+        return ((words >> np.uint64(11 * (n % 5))) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The feature of each word, or -1."""
+        out = np.full(len(words), -1, np.int32)
+        left = None
+        for n, table in enumerate(self.tables):
+            some = words if left is None else words[left]
+            found = table[self._entry(some, n)]
+            good = found >= 0
+            good[good] = self.words[found[good]] == some[good]
+            where = np.flatnonzero(good) if left is None else left[good]
+            out[where] = found[good]
+            again = (found >= 0) & ~good
+            left = np.flatnonzero(again) if left is None else left[again]
+            if not len(left):
+                break
+        return out
+
+
+NOTHING = Vocabulary(np.empty(0, np.uint64))
+
+
 @dataclass
 class Tokens:
     """Of a few texts: hash of each word; where texts start; feature numbers of the words that have one, and their blocks."""
@@ -52,36 +95,58 @@ class Tokens:
     blocks: np.ndarray
 
 
-def read(texts: list[bytes], vocabulary: np.ndarray) -> Tokens:
+def read(texts: list[bytes], vocabulary: Vocabulary) -> Tokens:
     raw = np.frombuffer(b" ".join(texts), np.uint8)
     starts, ends = words_of(raw)
     hashes = word_hashes(raw, starts, ends)
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts]))))
     n = np.diff(bounds)
     blocks = np.concatenate(([0], np.cumsum(-(-n // BLOCK))))
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        has = np.flatnonzero(vocabulary[at] == hashes)
-    else:
-        at, has = np.zeros(len(hashes), np.int64), np.empty(0, np.int64)
+    at = vocabulary.find(hashes)
+    has = np.flatnonzero(at >= 0)
     doc = np.searchsorted(bounds, has, "right") - 1
     return Tokens(hashes, bounds, at[has], blocks[doc] + (has - bounds[doc]) // BLOCK, blocks)
 
 
-def block_sums(t: Tokens, rows: np.ndarray) -> np.ndarray:
-    """The sum of ``rows`` (by feature) over the words of each block."""
-    out = np.zeros((int(t.blocks[-1]), rows.shape[1]), np.float32)
-    if len(t.feature):
-        first = np.flatnonzero(np.concatenate(([True], t.block[1:] != t.block[:-1])))
-        out[t.block[first]] = np.add.reduceat(rows[t.feature], first, axis=0)
-    return out
+class Rows:
+    """A row of numbers for each feature, to be summed over blocks.
+
+    The most frequent features make up most words: those are counted in a table of
+    blocks by features and summed in one matrix product; the others one by one.
+    """
+
+    FREQUENT = 320
+
+    def __init__(self, rows: np.ndarray, frequency: np.ndarray):
+        self.rows = np.ascontiguousarray(rows, np.float32)
+        self.top = np.argsort(-frequency, kind="stable")[: self.FREQUENT]
+        self.place = np.full(len(rows), -1, np.int64)
+        self.place[self.top] = np.arange(len(self.top))
+        self.top_rows = self.rows[self.top]
+
+    def counts(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of frequent features by block; feature and block of the other words."""
+        place = self.place[t.feature]
+        often = place >= 0
+        size = (int(t.blocks[-1]), len(self.top))
+        table = np.bincount(t.block[often] * size[1] + place[often], minlength=size[0] * size[1]).astype(np.float32).reshape(size)
+        return table, t.feature[~often], t.block[~often]
+
+    def sums(self, t: Tokens) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The sum over the words of each block, and the counts."""
+        counts = table, feature, block = self.counts(t)
+        out = table @ self.top_rows
+        if len(feature):
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            out[block[first]] += np.add.reduceat(self.rows[feature], first, axis=0)
+        return out, counts
 
 
 @dataclass
 class Items:
     ids: list[int | None]
     words: list[np.ndarray]
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> Items:
@@ -89,11 +154,11 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> Items:
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).collect()
     ids, words = [], []
     for r in sorted(rows, key=lambda r: (r.i is None, r.i or 0, r.t or "")):
-        found = read([normal(r.t)], np.empty(0, np.uint64)).hashes
+        found = read([normal(r.t)], NOTHING).hashes
         if len(found):
             ids.append(r.i)
             words.append(found)
-    return Items(ids, words, np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64))
+    return Items(ids, words, Vocabulary(np.unique(np.concatenate(words))) if words else NOTHING)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -130,8 +195,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def latent_basis(texts: DataFrame, items: Items, shared, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """IDF of each feature, and the right singular vectors of the TF-IDF rows of all blocks and items.
+def latent_basis(texts: DataFrame, items: Items, shared, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequency and IDF of each feature, and the right singular vectors of the TF-IDF rows of all blocks and items.
 
     One pass gives Z = A'A R for random R.  With Q a basis of Z, Q'A'AQ follows
     from Z and Q'R, and its eigenvectors turn Q into singular vectors.
@@ -141,25 +206,29 @@ def latent_basis(texts: DataFrame, items: Items, shared, rank: int, seed: int) -
     idf = np.log((1.0 + blocks) / (1.0 + frequency)) + 0.1
     width = min(d, rank + 16)
     random = np.random.default_rng(seed).standard_normal((d, width)).astype(np.float32)
-    weighted = (idf[:, None] * random).astype(np.float32)
     context = texts.sparkSession.sparkContext
-    given = context.broadcast((idf.astype(np.float32), weighted))
+    given = context.broadcast((idf.astype(np.float32), Rows(idf[:, None] * random, frequency)))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, (idf, weighted) = shared.value.vocabulary, given.value
-        z = np.zeros(weighted.shape, np.float32)
+        z = np.zeros(weighted.rows.shape, np.float32)
+        often = np.zeros(weighted.top_rows.shape, np.float32)
         for _, some in _texts(batches):
             for a, b in chunks(some):
                 t = read(some[a:b], vocabulary)
                 if not len(t.feature):
                     continue
-                y = block_sums(t, weighted)
+                y, (table, feature, block) = weighted.sums(t)
                 square = np.bincount(t.block, idf[t.feature] ** 2, len(y)).astype(np.float32)
                 y *= np.divide(1, square, out=np.zeros_like(square), where=square > 0)[:, None]
-                order = np.argsort(t.feature, kind="stable")
-                f = t.feature[order]
-                first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-                z[f[first]] += idf[f[first], None] * np.add.reduceat(y[t.block[order]], first, axis=0)
+                often += table.T @ y
+                order = np.argsort(feature, kind="stable")
+                f = feature[order]
+                if len(f):
+                    first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+                    z[f[first]] += np.add.reduceat(y[block[order]], first, axis=0)
+        z[weighted.top] += often
+        z *= idf[:, None]
         places = [i for i in range(0, len(z), SLICE) if z[i : i + SLICE].any()]
         yield pa.record_batch([pa.array(places, pa.int32()), pa.array([z[i : i + SLICE].tobytes() for i in places], pa.binary())], names=["place", "part"])
 
@@ -173,13 +242,13 @@ def latent_basis(texts: DataFrame, items: Items, shared, rank: int, seed: int) -
     z = np.zeros((d, width))
     for r in parts.collect():  # words of the benchmark times rank numbers
         z[r.place : r.place + SLICE] = np.frombuffer(bytes(r.part), np.float32).reshape(-1, width)
-    own = _unit(np.stack([np.bincount(np.searchsorted(items.vocabulary, w), minlength=d) * idf for w in items.words]))
+    own = _unit(np.stack([np.bincount(items.vocabulary.find(w), minlength=d) * idf for w in items.words]))
     z += max(1.0, blocks / len(own)) * (own.T @ (own @ random))
     q, _ = np.linalg.qr(z)
     small = (q.T @ z) @ np.linalg.pinv(q.T @ random)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-value)[: min(rank, width)]
-    return idf, q @ vector[:, best]
+    return frequency, idf, q @ vector[:, best]
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -199,14 +268,14 @@ def common_words(a: list[int], b: list[int]) -> int:
 class Search:
     """What every task of the last pass holds."""
 
-    def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray, min_cosine: float, min_common: float, min_answer: float):
+    def __init__(self, items: Items, frequency: np.ndarray, idf: np.ndarray, basis: np.ndarray, min_cosine: float, min_common: float, min_answer: float):
         self.items, self.min_cosine, self.min_common, self.min_answer = items, min_cosine, min_common, min_answer
-        self.rows = (idf[:, None] * basis).astype(np.float32)
+        self.rows = Rows(idf[:, None] * basis, frequency)
         queries, self.of = [], []
         for i, w in enumerate(items.words):  # a long item is sought by each of its passages
             for at in range(0, max(1, len(w) - BLOCK), 2 * BLOCK if len(w) <= 3 * BLOCK else BLOCK):
                 part = w[at : at + 2 * BLOCK] if len(w) > 3 * BLOCK else w
-                queries.append(self.rows[np.searchsorted(items.vocabulary, part)].sum(0))
+                queries.append(self.rows.rows[items.vocabulary.find(part)].sum(0))
                 self.of.append(i)
                 if len(w) <= 3 * BLOCK:
                     break
@@ -219,7 +288,7 @@ class Search:
         out = []
         for a, b in chunks(texts):
             t = read(texts[a:b], self.items.vocabulary)
-            sums = block_sums(t, self.rows)
+            sums, _ = self.rows.sums(t)
             if not len(sums):
                 continue
             doc = np.repeat(np.arange(b - a), np.diff(t.blocks))
@@ -258,8 +327,8 @@ def prepare(docs: DataFrame, benchmark: DataFrame, rank: int = 240, min_cosine:
         return None
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    idf, basis = latent_basis(texts, items, shared, rank, seed)
-    return Search(items, idf, basis, min_cosine, min_common, min_answer)
+    frequency, idf, basis = latent_basis(texts, items, shared, rank, seed)
+    return Search(items, frequency, idf, basis, min_cosine, min_common, min_answer)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -123,6 +123,10 @@ def _segments(docs: DataFrame, window: int, k: int, id_col: str, text_col: str):
         repeated = total > 1
         goes_on = np.zeros(len(edge), bool)
         goes_on[1:] = (owner[1:] == owner[:-1]) & repeated[1:] & repeated[:-1] & (succ[:-1] == edge[1:]) & (pred[1:] == edge[:-1]) & (total[1:] == total[:-1])
+        # an edge that starts a segment in one piece, as where a run was cut, does so in all
+        starts = np.zeros(len(new), bool)
+        starts[group[repeated & ~goes_on]] = True
+        goes_on &= ~starts[group]
         head = np.flatnonzero(repeated & ~goes_on)
         stop = np.flatnonzero(repeated & ~np.append(goes_on[1:], False))
         size = stop - head + 1

@@ -157,7 +157,7 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: "list[Node | str]") -> list[str]:
     """The text of each block below ``nodes`` in page order, white space as one space."""
     out, now = [], []
 
@@ -208,14 +208,15 @@ def main_text(source: str | None) -> str:
     best = max(reversed(order), key=lambda n: n.score, default=root)
     if best.score <= 0 or best.tag in ("#root", "html"):
         return " ".join(_blocks([root]))
-    kept = [best]
+    kept: list[Node | str] = [best]
     if best.up is not None and best.tag not in ("body", "html"):
         kept = []
         for k in _children(best.up):
-            if isinstance(k, str):
+            if isinstance(k, str):  # text beside the container
+                kept.append(k)
                 continue
             few = _density(k) < 0.25
-            if k is best or few and (k.score >= max(1.0, 0.2 * best.score) or k.tag == "p" and k.size >= 80):
+            if k is best or few and (k.score >= max(1.0, 0.2 * best.score) or (k.tag == "p" and k.size >= 80 or k.tag not in BLOCKS)):
                 kept.append(k)
     return " ".join(_blocks(kept))
 

@@ -62,9 +62,13 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 class Forest:
-    """Keeps, of links offered in any number, a forest with the fewest bits; its size is bounded by the nodes."""
+    """Keeps, of links offered in any number, a forest with the fewest bits; its size is bounded by the nodes.
 
-    def __init__(self):
+    Links of a node with ``sparse`` or fewer are kept as well, which bounds their number too.
+    """
+
+    def __init__(self, sparse: int = 0):
+        self.sparse = sparse
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
@@ -96,6 +100,10 @@ class Forest:
                 up[max(x, y)] = min(x, y)
                 kept.append(i)
         at = np.array(kept, np.int64)
+        if self.sparse:
+            ends, count = np.unique(np.concatenate((a, b)), return_counts=True)
+            fewer = np.minimum(count[np.searchsorted(ends, a)], count[np.searchsorted(ends, b)])
+            at = np.union1d(at, np.flatnonzero(fewer <= self.sparse))
         return a[at], b[at], bits[at]
 
 
@@ -189,9 +197,11 @@ def _compare(f, l1, h1, l2, h2, budget: int, forest: Forest, rows: np.ndarray) -
         start = stop
 
 
-def links(prints: DataFrame, budget: int, size_ratio: float | None = None) -> DataFrame:
+def links(prints: DataFrame, budget: int, size_ratio: float | None = None, sparse: int = 0) -> DataFrame:
     """a, b (structs of first and fp) and bits: for each trie a spanning forest of the pairs within ``budget`` bits.
 
+    With ``sparse`` all pairs come along that a node with so many or fewer has part in.
+
     ``prints`` has first and fp, one row a node.  With ``size_ratio`` it also has
     size, and only nodes whose sizes may be within that ratio are sure to meet.
     """
@@ -213,7 +223,7 @@ def links(prints: DataFrame, budget: int, size_ratio: float | None = None) -> Da
         def linked(parts: list[np.ndarray]) -> pa.RecordBatch:
             x = np.concatenate(parts)
             group = np.cumsum(np.concatenate(([True], (x[1:, :3] != x[:-1, :3]).any(axis=1))))
-            forest = Forest()
+            forest = Forest(sparse)
             trie_links(x[:, 4].view(np.uint64), group, budget, forest, np.arange(len(x)))
             a, b, bits = forest.links()
             return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in (x[a, 3], x[a, 4], x[b, 3], x[b, 4])), pa.array(bits.astype(np.int32))], schema=schema)
@@ -269,13 +279,15 @@ def near_groups(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("component_id"), F.lit(NO_ID)).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 16, sparse: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are linked with a smaller id, over any number of links.
 
     Fingerprints within ``budget`` bits propose; a proposed link holds if the
     shingle sets have a Jaccard similarity of ``similarity`` or more.  At a
     similarity of 0.8 fingerprints differ in about 9 bits of 64, and hardly ever
-    in over 14.  Texts of the same words are one node, whose smallest id stays.
+    in over 16; only texts of a few words can differ in more.  Where a trie gives a
+    text over ``sparse`` partners, as in a large group of near copies, the nearest
+    that connect the group are checked instead of each with each.  Texts of the same words are one node, whose smallest id stays.
     Texts without words are alike.  Null ids go first.
     """
     key = free_name(docs, "text_key")
@@ -296,7 +308,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     # nodes: texts of the same words; named by their smallest row
     small = rows.groupBy("same", "part").agg(F.min(F.struct("id", "own", "fp", "size")).alias("m")).groupBy("same").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
     nodes = cut(small.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("print"), F.col("m.size").alias("size")))
-    proposed = links(nodes.select(F.col("same").alias("first"), F.col("print").alias("fp"), "size"), budget, similarity)
+    proposed = links(nodes.select(F.col("same").alias("first"), F.col("print").alias("fp"), "size"), budget, similarity, sparse)
     proposed = cut(proposed.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct())
     holds = _similar(slim, nodes, proposed, shingle, similarity, own)
     # back to names that sort by the smallest id

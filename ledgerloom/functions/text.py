@@ -42,6 +42,11 @@ ANCHOR = r"(?i)\bAF_\d{2}/\d{4}\b"
 MONEY = r"^[+-]?(\d{1,3}(\.\d{3})*|\d+),\d{1,8}%?$"
 
 
+def let(c: Column, body) -> Column:
+    """``body(c)`` with c worked out once, however often the body names it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def unmarked(c: Column) -> Column:
     return F.translate(c, MARKED, PLAIN)
 
@@ -247,22 +252,23 @@ def tokens(c: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """The word without the first listed suffix that leaves four letters, and without PRE."""
-    s = F.regexp_replace(norm_upper(c), "[^A-Z0-9]", "")
-    out = None
-    for suffix in STEM_SUFFIXES:
-        cond = (F.length(s) - len(suffix) >= 4) & s.endswith(suffix)
-        value = F.substring(s, F.lit(1), F.length(s) - len(suffix))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    cut = out.otherwise(s)
-    cut = F.when(cut.startswith("PRE") & (F.length(cut) > 7), F.substring(cut, F.lit(4), F.length(cut))).otherwise(cut)
-    return F.when(s.isin(["", *STOPWORDS]), "").otherwise(cut)
+    def cut(s: Column) -> Column:
+        out = F
+        for suffix in STEM_SUFFIXES:
+            out = out.when((F.length(s) - len(suffix) >= 4) & s.endswith(suffix), F.substring(s, F.lit(1), F.length(s) - len(suffix)))
+        return out.otherwise(s)
+
+    def without_pre(s: Column) -> Column:
+        return F.when(s.startswith("PRE") & (F.length(s) > 7), F.substring(s, F.lit(4), F.length(s))).otherwise(s)
+
+    return let(F.regexp_replace(norm_upper(c), "[^A-Z0-9]", ""), lambda s: F.when(s.isin(["", *STOPWORDS]), "").otherwise(let(cut(s), without_pre)))
 
 
 def semantic_tokens(c: Column) -> Column:
     """Stems of the words and the groups they belong to."""
-    stems = F.filter(F.transform(tokens(c), stem), lambda x: x != "")
-    groups = [F.when(F.exists(stems, lambda x, v=variants: reduce(lambda a, b: a | b, [x.startswith(p) for p in v])), F.lit(name)) for name, variants in STEM_ALIASES.items()]
-    return F.array_distinct(F.concat(stems, F.array_compact(F.array(*groups))))
+    begins = lambda stems, variants: F.exists(stems, lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in variants]))
+    groups = lambda stems: F.array_compact(F.array(*[F.when(begins(stems, variants), F.lit(name)) for name, variants in STEM_ALIASES.items()]))
+    return let(F.filter(F.transform(tokens(c), stem), lambda x: x != ""), lambda stems: F.array_distinct(F.concat(stems, groups(stems))))
 
 
 def canonical_bank(c: Column) -> Column:

@@ -107,15 +107,19 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
 
     ``refs`` and ``blocks`` have code, bank, item, descricao, unit, price, quant.
     Equal code and bank link directly; others are scored among blocks of the same
-    bank that share the item, the unit or the first four characters of the code.
+    bank that share the item or the code but for its last character, and the unit if
+    those are under twelve.
     Every reference is scored by itself, so the result does not depend on the order.
     """
     direct = refs.join(blocks.select(F.col(block_id), F.col("code").alias("bc"), F.col("bank").alias("bb")), (F.col("code") == F.col("bc")) & (F.col("bank") == F.col("bb")))
     direct = direct.groupBy(ref_id).agg(F.min(block_id).alias(block_id))
     rest = refs.join(direct.select(ref_id), ref_id, "left_anti")
-    lead = F.substring("code", 1, 4)
-    r, b = rest.withColumn("lead", lead), blocks.withColumn("lead", lead)
-    pairs = candidates(r, b.where("item <> ''"), [["bank", "item"]], ref_id, block_id).union(candidates(r, b, [["bank", "unit"], ["bank", "lead"]], ref_id, block_id)).distinct()
+    # the whole code, and without its last character if it is long: a cut code meets the whole one
+    family = F.explode(F.when(F.length("code") >= 6, F.array(F.col("code"), F.expr("substring(code, 1, length(code) - 1)"))).otherwise(F.array("code")))
+    r, b = rest.withColumn("family", family), blocks.withColumn("family", family)
+    pairs = candidates(rest, blocks.where("item <> ''"), [["bank", "item"]], ref_id, block_id).union(candidates(r, b, [["bank", "family"]], ref_id, block_id)).distinct()
+    enough = pairs.groupBy(ref_id).agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
+    pairs = pairs.union(candidates(rest.join(enough, ref_id, "left_anti"), blocks, [["bank", "unit"]], ref_id, block_id)).distinct()
     cols = ["code", "bank", "item", "unit", "price", "quant"]
     left = features(rest.select(ref_id, "descricao", *[F.col(x).alias(f"r_{x}") for x in cols]), "descricao", "r_").drop("descricao")
     right = features(blocks.select(block_id, "descricao", *[F.col(x).alias(f"b_{x}") for x in cols]), "descricao", "b_").drop("descricao")

@@ -13,7 +13,8 @@ NUMBER = r"\d{1,3}(?:\.\d{3})*,\d{1,8}|\d+,\d{1,8}"
 #: unit, quantity, unit price, total.
 TAIL = rf"(?<![^\s])([A-Za-z%][A-Za-z0-9²³%/]{{0,7}})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})(?![^\s])"
 KIND = r"(?i)^\s*(Composi[cç][aã]o Auxiliar|Composi[cç][aã]o|Insumo|Auxiliar|Atividade Auxiliar|Tempo Fixo)\b"
-BANK = r"(?i)\b(SINAPI|SICRO\d?|PR[ÓO]PRIO|ORSE|SEINFRA|DNIT|SEDOP|SBC|ANP)\b"
+BANKS = r"SINAPI|SICRO\d?|PR[ÓO]PRIO|ORSE|SEINFRA|DNIT|SEDOP|SBC|ANP"
+BANK = rf"(?i)\b({BANKS})\b"
 CODE = r"[A-Z]{0,6}[.\-]?\d{4,8}(?:/\d{1,4})?|[A-Z]{2,6}[.\-][A-Z0-9.\-]+|[A-Z]\d{4}"
 UNIT_BLACKLIST = ["DE", "DA", "DO", "E", "COM", "EM", "PARA", "A", "O"]
 
@@ -54,12 +55,12 @@ def parse_row(c: Column) -> Column:
     tail = numeric_tail(s)
     kind = F.regexp_extract(s, KIND, 1)
     bank = F.upper(F.regexp_extract(s, BANK, 1))
-    head = F.when(bank != "", F.regexp_extract(s, rf"(?i)^(.*?)\b{BANK[4:]}", 1)).otherwise(s)
+    head = F.when(bank != "", F.regexp_extract(s, rf"(?i)^(.*?)\b(?:{BANKS})\b", 1)).otherwise(s)
     codes = F.regexp_extract_all(F.upper(head), F.lit(rf"(?<![A-Z0-9])({CODE})(?![A-Z0-9])"), F.lit(1))
     code = F.coalesce(F.try_element_at(codes, F.lit(-1)), F.lit(""))
     whole = F.concat_ws(" ", tail["und"], tail["quant"], tail["valor_unit"], tail["total"])
     body = F.when(tail.isNotNull(), F.substring(s, F.lit(1), F.greatest(F.instr(s, whole) - 1, F.lit(0)))).otherwise(s)
-    after_bank = F.regexp_replace(body, rf"(?i)^.*?\b(SINAPI|SICRO\d?|PR[ÓO]PRIO|ORSE|SEINFRA|DNIT|SEDOP|SBC|ANP)\b", "")
+    after_bank = F.regexp_replace(body, rf"(?i)^.*?\b(?:{BANKS})\b", "")
     description = F.trim(F.when(bank != "", after_bank).otherwise(F.regexp_replace(body, KIND, "")))
     return F.struct(
         kind.alias("kind"), code.alias("codigo"), F.regexp_replace(bank, r"^SICRO\d?$", "SICRO").alias("banco"), description.alias("descricao"),

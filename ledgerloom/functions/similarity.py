@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-from .text import norm_upper
+from .text import let, norm_upper
 
 
 def char_trigrams(c: Column) -> Column:
     """The different runs of three characters, spaces aside; a shorter text is its own."""
-    s = F.replace(norm_upper(c), F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    def grams(s: Column) -> Column:
+        whole = F.when(s == "", F.array().cast("array<string>")).otherwise(F.array(s))
+        return F.when(F.length(s) < 3, whole).otherwise(let(F.split(s, ""), runs))
+
+    def runs(chars: Column) -> Column:  # places in an array are found at once, places in a text are not
+        return F.array_distinct(F.transform(F.slice(chars, F.lit(1), F.size(chars) - 2), lambda x, i: F.concat(x, chars[i + 1], chars[i + 2])))
+
+    return let(F.replace(norm_upper(c), F.lit(" "), F.lit("")), grams)
 
 
 def _share(a: Column, b: Column, of: Column) -> Column:

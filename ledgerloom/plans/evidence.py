@@ -126,14 +126,16 @@ def choose_or_abstain(spark, sf_dir):
 @query()
 def evidence_graph(spark, sf_dir):
     """Greedy clusters depend on the order; tests hold this against a plain loop."""
-    rows = table(spark, sf_dir, "documents").where(F.length("text") < 300).select(F.concat_ws("|", "lang", "source").alias("key"), F.col("doc_id").alias("ord"), norm_upper(F.col("text")).alias("upper"))
+    text = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("ord"), norm_upper(text).alias("upper"))
     return evidence.description_clusters(rows)
 
 
 @query()
 def description_registry(spark, sf_dir):
     """An ordered fold; tests hold this against a plain loop."""
-    rows = table(spark, sf_dir, "documents").where(F.length("text") < 400).select(F.concat_ws("|", "lang", "source").alias("key"), F.col("doc_id").alias("ord"), F.col("text").alias("descricao"), norm_upper(F.col("text")).alias("upper"), F.lit(1.0).alias("weight"))
+    text = F.concat_ws(" ", F.lit("FORNECIMENTO E INSTALACAO DE"), "p_name", "p_type", F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("ord"), text.alias("descricao"), norm_upper(text).alias("upper"), F.lit(1.0).alias("weight"))
     return evidence.description_registry(rows)
 
 
@@ -165,10 +167,10 @@ def midpoint_bands(spark, sf_dir):
     return structure.midpoint_bands(columns(spark, sf_dir), "table_id").select("table_id", "id", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"))
 
 
-@query("""SELECT 0 AS table_id, p_partkey AS id, CASE WHEN p_size < 10 THEN 'a' WHEN p_size < 20 THEN 'b' WHEN p_size < 30 THEN 'c' ELSE 'd' END AS canonical FROM part WHERE p_size < 40""")
+@query("""SELECT 0 AS table_id, p_partkey AS id, CASE WHEN p_size < 10 THEN 'a' WHEN p_size < 20 THEN 'b' WHEN p_size < 30 THEN 'c' WHEN p_size < 40 THEN 'd' WHEN p_size < 50 THEN 'e' ELSE 'f' END AS canonical FROM part""")
 def band_assignment(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.lit(0).alias("table_id"), F.col("p_partkey").alias("id"), (F.col("p_size") * 10.0).alias("x0"), (F.col("p_size") * 10.0 + 1).alias("x1"))
-    bands = spark.createDataFrame([(0, "a", 0.0, 99.0), (0, "b", 100.0, 199.0), (0, "c", 200.0, 299.0), (0, "d", 300.0, 395.0)], "table_id int, canonical string, x0 double, x1 double")
+    bands = spark.createDataFrame([(0, "a", 0.0, 99.0), (0, "b", 100.0, 199.0), (0, "c", 200.0, 299.0), (0, "d", 300.0, 399.0), (0, "e", 400.0, 499.0), (0, "f", 500.0, 599.0)], "table_id int, canonical string, x0 double, x1 double")
     return structure.assign_bands(words, bands, "table_id", "id")
 
 

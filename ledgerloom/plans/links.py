@@ -115,13 +115,15 @@ def chain_join(spark, sf_dir):
     return out.groupBy("item").agg(F.count("row_key").alias("n"), F.max(F.when(F.col("state") == "missing_composition", "missing_composition").otherwise("linked")).alias("state"))
 
 
-@query("""WITH k AS (SELECT p_type AS code, p_brand AS bank, p_size AS unit, p_name AS tipo FROM part), x AS (SELECT p_partkey, p.p_type AS code, (p_brand = k.bank)::INT AS a, (p_brand = k.bank AND p_size = k.unit OR p_size = k.unit)::INT AS b, k.tipo FROM part p JOIN k ON p.p_type = k.code WHERE p_partkey < 40)
-SELECT p_partkey, tipo FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY a DESC, b DESC, length(tipo) DESC, tipo DESC) AS rn FROM x) WHERE rn = 1""")
+@query("""WITH x AS (SELECT l.l_orderkey, l.l_partkey, l.l_linenumber, l.l_extendedprice, (p_brand = 'Brand#' || l_linenumber)::INT AS a, (p_size = CAST(l_quantity AS INT))::INT AS b, p_name AS tipo FROM lineitem l JOIN part p ON p_partkey // 3 = l_partkey // 3)
+SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, tipo FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber, l_extendedprice ORDER BY a DESC, b DESC, length(tipo) DESC, tipo DESC) AS rn FROM x) WHERE rn = 1""")
 def deferred_enrichment(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    pending = p.where("p_partkey < 40").select("p_partkey", F.col("p_type").alias("code"), F.col("p_brand").alias("bank"), F.col("p_size").alias("unit"))
-    known = p.select(F.col("p_type").alias("code"), F.col("p_brand").alias("bank"), F.col("p_size").alias("unit"), F.col("p_name").alias("tipo")).distinct()
-    return linkage.progressive_match(pending, known, "p_partkey", "code", ["bank", "unit"], "tipo").select("p_partkey", "tipo")
+    """Lines look among the parts of their lot of three."""
+    lot = lambda c: F.floor(F.col(c) / 3).alias("code")
+    keys = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"]
+    pending = table(spark, sf_dir, "lineitem").select(F.struct(*keys).alias("row_id"), lot("l_partkey"), F.concat(F.lit("Brand#"), F.col("l_linenumber").cast("string")).alias("bank"), F.col("l_quantity").cast("int").alias("unit")).distinct()
+    known = table(spark, sf_dir, "part").select(lot("p_partkey"), F.col("p_brand").alias("bank"), F.col("p_size").alias("unit"), F.col("p_name").alias("tipo"))
+    return linkage.progressive_match(pending, known, "row_id", "code", ["bank", "unit"], "tipo").select("row_id.*", "tipo")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders""")

@@ -169,12 +169,12 @@ def sicro_section_totals(spark, sf_dir):
     return out.select("l_orderkey", "section", F.round("total", 4).alias("total"), "n_rows", "status")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.0 ELSE p_size * 1.0 END AS q, p_retailprice AS u, round(p_size * p_retailprice, 4) AS t FROM part WHERE p_size > 1""")
+@query("""SELECT p_partkey, p_size + 1.0::DOUBLE AS q, p_retailprice AS u, round((p_size + 1) * p_retailprice, 4) AS t FROM part""")
 def layout_permutation(spark, sf_dir):
-    q, u = F.col("p_size").cast("double"), F.col("p_retailprice")
+    q, u = F.col("p_size") + 1.0, F.col("p_retailprice")
     t = F.round(q * u, 4)
     shuffled = F.when(F.col("p_partkey") % 3 == 0, F.array(q, u, t)).when(F.col("p_partkey") % 3 == 1, F.array(t, q, u)).otherwise(F.array(u, t, q))
-    rows = table(spark, sf_dir, "part").where("p_size > 1").withColumn("o", structure.closing_order(shuffled))
+    rows = table(spark, sf_dir, "part").withColumn("o", structure.closing_order(shuffled))
     return rows.select("p_partkey", F.least("o.q", "o.u").alias("q"), F.greatest("o.q", "o.u").alias("u"), "o.t")
 
 

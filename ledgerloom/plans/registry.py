@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import evidence, links, numbers, quality, reconciliation, sequences, texts  # noqa: E402,F401
+from . import evidence, links, numbers, quality, reconciliation, recovery, sequences, texts  # noqa: E402,F401

@@ -117,10 +117,10 @@ def union_distinct_first(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.c_nationkey, b.s_nationkey) AS nation, coalesce(b.bal, a.bal) AS bal, a.seg AS item, CASE WHEN a.c_nationkey IS NOT NULL AND b.s_nationkey IS NOT NULL THEN 'replaced' WHEN b.s_nationkey IS NOT NULL THEN 'inserted' ELSE 'kept' END AS origin
-FROM (SELECT c_nationkey, max(c_acctbal) AS bal, min(c_mktsegment) AS seg FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, max(s_acctbal) AS bal FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON a.c_nationkey = b.s_nationkey""")
+FROM (SELECT c_nationkey, max(c_acctbal) AS bal, min(c_mktsegment) AS seg FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey + 7 AS s_nationkey, max(s_acctbal) AS bal FROM supplier GROUP BY 1) b ON a.c_nationkey = b.s_nationkey""")
 def upsert_precedence(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("nation")).agg(F.max("c_acctbal").alias("bal"), F.min("c_mktsegment").alias("item"))
-    b = table(spark, sf_dir, "supplier").where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("nation")).agg(F.max("s_acctbal").alias("bal"), F.lit(None).cast("string").alias("item"))
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.max("c_acctbal").alias("bal"), F.min("c_mktsegment").alias("item"))
+    b = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") + 7).alias("nation")).agg(F.max("s_acctbal").alias("bal"), F.lit(None).cast("string").alias("item"))
     return sets.upsert(a, b, "nation", ["bal"], ["item"])
 
 

@@ -51,10 +51,10 @@ def break_markers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("###"), F.lit("")))).cast("long").alias("marked"), F.length(T.break_before(t, ["###", "!!"])).cast("long").alias("broken"))
 
 
-@query(f"""SELECT doc_id, list_sort({TOKENS}) AS words, len({TOKENS}) AS n FROM documents WHERE length(text) < 2000""")
+@query(f"""SELECT doc_id, list_sort({TOKENS}) AS words, len({TOKENS}) AS n FROM documents""")
 def tokens(spark, sf_dir):
     t = T.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").where(F.length("text") < 2000).select("doc_id", F.sort_array(t).alias("words"), F.size(t).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sort_array(t).alias("words"), F.size(t).cast("long").alias("n"))
 
 
 _STEM_CASE = "CASE " + " ".join(f"WHEN length(w) - {len(s)} >= 4 AND w LIKE '%{s}' THEN substr(w, 1, length(w) - {len(s)})" for s in T.STEM_SUFFIXES) + " ELSE w END"
@@ -66,35 +66,36 @@ def semantic_stem(spark, sf_dir):
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-_PAIRS = f"""WITH d AS (SELECT doc_id, lang, source, {TOKENS} AS t, text FROM documents WHERE length(text) < 400), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t AS x, b.t AS y, a.text AS ta, b.text AS tb FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id)"""
+_PAIRS = f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), p AS (SELECT a.doc_id AS a, a.t AS x, b.t AS y FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)"""
 
 
 def pairs(spark, sf_dir):
-    """Pairs of short documents of one language and source."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") < 400).select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("t"), "text")
-    b = d.select(F.col("doc_id").alias("b"), "lang", "source", F.col("t").alias("y"), F.col("text").alias("tb"))
-    return d.withColumnsRenamed({"doc_id": "a", "t": "x", "text": "ta"}).join(b, ["lang", "source"]).where("a < b")
+    """Each document beside the one with the next id."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), T.tokens(F.col("text")).alias("x"))
+    return d.join(d.select((F.col("a") - 1).alias("a"), F.col("x").alias("y")), "a")
 
 
 _SHARE = "CASE WHEN len(x) > 0 AND len(y) > 0 THEN round(len(list_intersect(x, y)) / {of}, 6) ELSE 0 END"
 
 
-@query(f"""{_PAIRS} SELECT a, b, {_SHARE.format(of="len(list_distinct(list_concat(x, y)))")} AS jaccard, {_SHARE.format(of="greatest(len(x), len(y))")} AS of_larger, {_SHARE.format(of="least(len(x), len(y))")} AS of_smaller FROM p""")
+@query(f"""{_PAIRS} SELECT a, {_SHARE.format(of="len(list_distinct(list_concat(x, y)))")} AS jaccard, {_SHARE.format(of="greatest(len(x), len(y))")} AS of_larger, {_SHARE.format(of="least(len(x), len(y))")} AS of_smaller FROM p""")
 def set_similarity(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
-    return pairs(spark, sf_dir).select("a", "b", F.round(S.jaccard(x, y), 6).alias("jaccard"), F.round(S.overlap_of_larger(x, y), 6).alias("of_larger"), F.round(S.overlap_of_smaller(x, y), 6).alias("of_smaller"))
+    return pairs(spark, sf_dir).select("a", F.round(S.jaccard(x, y), 6).alias("jaccard"), F.round(S.overlap_of_larger(x, y), 6).alias("of_larger"), F.round(S.overlap_of_smaller(x, y), 6).alias("of_smaller"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, replace({UPPER}, ' ', '') AS s FROM documents WHERE length(text) < 1000)
+@query(f"""WITH d AS (SELECT doc_id, replace({UPPER}, ' ', '') AS s FROM documents)
 SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3)))) END AS n FROM d""")
 def char_trigrams(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") < 1000).select("doc_id", F.size(S.char_trigrams(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(S.char_trigrams(F.col("text"))).cast("long").alias("n"))
 
 
 @query()
 def sequence_similarity(spark, sf_dir):
     """Matching blocks have no counterpart in SQL; tests hold this against the definition."""
-    return pairs(spark, sf_dir).select("a", "b", F.round(S.sequence_ratio(T.norm_upper(F.col("ta")), T.norm_upper(F.col("tb"))), 6).alias("ratio"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("x"))
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y")), "p_partkey")
+    return both.select("p_partkey", F.round(S.sequence_ratio(T.norm_upper(F.col("x")), T.norm_upper(F.col("y"))), 6).alias("ratio"), F.round(S.text_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest(string_split({CLEAN}, ' ')) AS text FROM documents) SELECT text AS token, CASE

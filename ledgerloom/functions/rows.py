@@ -92,3 +92,9 @@ def words_around(text: Column, word: Column, n: int) -> Column:
     words = F.split(clean(text), " ")
     at = F.array_position(words, word).cast("int")
     return F.when(at > 0, F.slice(words, F.greatest(at - n, F.lit(1)), F.lit(2 * n + 1)))
+
+
+def grand_total(c: Column) -> Column:
+    """The amount printed behind the last mention of a grand total, as text; null if there is none."""
+    found = F.regexp_extract_all(clean(c), F.lit(rf"(?i)\b(?:valor|total)\s+(?:geral|global)\b[^0-9]{{0,20}}({NUMBER})"), F.lit(1))
+    return F.try_element_at(found, F.lit(-1))

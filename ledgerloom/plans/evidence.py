@@ -230,3 +230,12 @@ def template_choice(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     out = choice.best_with_reasons(rows, ["user_id"], F.col("value"), {"low": F.col("value") < 5, "wrong": F.col("event_type") == "error"}, ["event_id"])
     return out.select("user_id", "score", "n_low", "n_wrong")
+
+
+@query("""SELECT n_nationkey AS table_id, n_nationkey % 2 = 0 AS is_header FROM nation""")
+def header_rows(spark, sf_dir):
+    """Every other table has a header; the others name two columns only."""
+    k = F.col("n_nationkey")
+    heads = F.when(k % 2 == 0, F.array(*map(F.lit, _HEADS))).otherwise(F.array(F.lit("Código"), F.lit("Und"), F.lit("x")))
+    cells = table(spark, sf_dir, "nation").select(k.alias("table_id"), F.posexplode(heads).alias("col_index", "text"))
+    return structure.is_header(structure.header_map(cells), "table_id", ["codigo", "banco", "descricao"])

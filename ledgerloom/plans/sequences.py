@@ -140,3 +140,8 @@ def collection_split(spark, sf_dir):
 def event_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.tumbling(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT p_brand, greatest(2.0, least(4.2, median(p_size::DOUBLE) * 0.45)) AS tolerance FROM part GROUP BY 1""")
+def adaptive_tolerance(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(sequence.adaptive_tolerance(F.col("p_size")).alias("tolerance"))

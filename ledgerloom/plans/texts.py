@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions import rows as R
 from ..functions import similarity as S
 from ..functions import text as T
@@ -189,3 +190,24 @@ def sicro_code_bank(spark, sf_dir):
     turned = n % 2 == 0
     rows = table(spark, sf_dir, "part").withColumn("r", sicro.code_and_bank(F.when(turned, "SICRO3").otherwise(code), F.when(turned, code).otherwise("SICRO3")))
     return rows.select("p_partkey", "r.codigo", "r.banco", "r.inverted", sicro.code_class(F.col("r.codigo")).alias("class"))
+
+
+@query("""SELECT o_orderkey, 'TUBO (PVC), 2X3 CM' || CASE WHEN o_orderkey % 2 = 0 THEN ': ' ELSE '; ' END || o_orderstatus AS text FROM orders""")
+def service_text(spark, sf_dir):
+    raw = F.concat(F.lit("TUBO ( PVC ) ,2 X 3 CM"), F.when(F.col("o_orderkey") % 2 == 0, " : ").otherwise(" ; "), F.col("o_orderstatus"))
+    fixed = F.regexp_replace(T.spaced_service_text(raw), ",(?=2X)", ", ")
+    return table(spark, sf_dir, "orders").select("o_orderkey", fixed.alias("text"))
+
+
+@query("""SELECT p_partkey, p_partkey % 4 <> 3 AS suspicious FROM part""")
+def suspicious_end(spark, sf_dir):
+    k = F.col("p_partkey")
+    ends = F.element_at(F.array(*map(F.lit, [" DE", " (", " TIPO (A", " TIPO (A)"])), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.suspicious_end(F.concat("p_name", ends)).alias("suspicious"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN {PT.format(x="o_totalprice")} END AS total FROM orders""")
+def grand_total(spark, sf_dir):
+    price = N.format_ptbr(F.col("o_totalprice"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Total parcial R$ "), price)).otherwise(F.concat(F.lit("Valor Global 1,00 ... VALOR GERAL: R$ "), price, F.lit(" fim")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.grand_total(text).alias("total"))

@@ -14,7 +14,7 @@ a group of thousands of copies never becomes millions of pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, free_name, id_and_text, partitions
+from .anchors import mixed
+from .common import as_bytes, cut, free_name, id_and_text, partitions, small
 from .components import components, part_of
 
 SEED = 42
@@ -33,6 +34,8 @@ AT_ONCE = 2_000_000
 CHUNK = 150_000
 #: Links kept before they are cut down to a forest.
 LINKS = 1_000_000
+#: Ids up to which a list of them is sent to all executors, so that the texts need not be shuffled: 24 bytes each.
+LISTED = 200_000
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -65,14 +68,18 @@ class Forest:
     """Keeps, of links offered in any number, a forest with the fewest bits; its size is bounded by the nodes.
 
     Links of a node with ``sparse`` or fewer are kept as well, which bounds their number too.
+    ``accept``, if given, tells which of some links (a, b, bits) count.
     """
 
-    def __init__(self, sparse: int = 0):
-        self.sparse = sparse
+    def __init__(self, sparse: int = 0, accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None):
+        self.sparse, self.accept = sparse, accept
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
     def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        if self.accept is not None and len(a):
+            good = self.accept(a, b, bits)
+            a, b, bits = a[good], b[good], bits[good]
         if len(a):
             self.parts.append((a, b, bits))
             self.n += len(a)
@@ -125,10 +132,7 @@ def _walk(f: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, forest: Fo
         bit, l1, h1, l2, h2, diff = stack.pop()
         if not len(l1):
             continue
-        if bit < 0 or budget >= BITS:
-            all_linked = np.ones(len(l1), bool)
-        else:
-            all_linked = diff + bit + 1 <= budget
+        all_linked = (diff + bit + 1 <= budget) & (forest.accept is None)
         if all_linked.any():
             for a, b, c, d, n in zip(*(x[all_linked].tolist() for x in (l1, h1, l2, h2, diff))):
                 chain = np.arange(a, b) if a == c else np.concatenate((np.arange(a, b), np.arange(c, d)))
@@ -137,7 +141,7 @@ def _walk(f: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, forest: Fo
             if not len(l1):
                 continue
         work = (h1 - l1) * (h2 - l2)
-        few = work <= (1024 if budget < 8 else 1 << 18)  # with a wide budget the upper bits prune little
+        few = (work <= (1024 if budget < 8 else 1 << 18)) | (bit < 0)  # with a wide budget the upper bits prune little
         if few.any():
             _compare(f, *(x[few] for x in (l1, h1, l2, h2)), budget, forest, rows)
             l1, h1, l2, h2, diff = (x[~few] for x in (l1, h1, l2, h2, diff))
@@ -197,10 +201,12 @@ def _compare(f, l1, h1, l2, h2, budget: int, forest: Forest, rows: np.ndarray) -
         start = stop
 
 
-def links(prints: DataFrame, budget: int, size_ratio: float | None = None, sparse: int = 0) -> DataFrame:
+def links(prints: DataFrame, budget: int, size_ratio: float | None = None, sparse: int = 0, both: int | None = None) -> DataFrame:
     """a, b (structs of first and fp) and bits: for each trie a spanning forest of the pairs within ``budget`` bits.
 
     With ``sparse`` all pairs come along that a node with so many or fewer has part in.
+    With ``both`` there is a second fingerprint, fp2, and a pair only counts if the
+    bits that differ in the two together are no more than that.
 
     ``prints`` has first and fp, one row a node.  With ``size_ratio`` it also has
     size, and only nodes whose sizes may be within that ratio are sure to meet.
@@ -215,7 +221,8 @@ def links(prints: DataFrame, budget: int, size_ratio: float | None = None, spars
     else:  # sizes within the ratio fall on the same step or the next, and every node stands on its own step and the next
         step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1 / size_ratio)) + F.lit(1e-9)).cast("int")
         rows = rows.withColumn("step", F.explode(F.array(step, step + 1)))
-    rows = rows.select("first", "fp", "step", F.explode(F.array(*keys)).alias("k")).select("k.i", "k.value", "step", "first", "fp")
+    more = ["fp2"] if both is not None else []
+    rows = rows.select("first", "fp", *more, "step", F.explode(F.array(*keys)).alias("k")).select("k.i", "k.value", "step", "first", "fp", *more)
     rows = rows.repartition(p, "i", "value", "step").sortWithinPartitions("i", "value", "step")
     schema = pa.schema([("a_first", pa.int64()), ("a_fp", pa.int64()), ("b_first", pa.int64()), ("b_fp", pa.int64()), ("bits", pa.int32())])
 
@@ -223,15 +230,19 @@ def links(prints: DataFrame, budget: int, size_ratio: float | None = None, spars
         def linked(parts: list[np.ndarray]) -> pa.RecordBatch:
             x = np.concatenate(parts)
             group = np.cumsum(np.concatenate(([True], (x[1:, :3] != x[:-1, :3]).any(axis=1))))
-            forest = Forest(sparse)
-            trie_links(x[:, 4].view(np.uint64), group, budget, forest, np.arange(len(x)))
+            accept = None
+            if both is not None:
+                second = np.ascontiguousarray(x[:, 5]).view(np.uint64)
+                accept = lambda a, b, bits: bits + np.bitwise_count(second[a] ^ second[b]) <= both
+            forest = Forest(sparse, accept)
+            trie_links(np.ascontiguousarray(x[:, 4]).view(np.uint64), group, budget, forest, np.arange(len(x)))
             a, b, bits = forest.links()
             return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in (x[a, 3], x[a, 4], x[b, 3], x[b, 4])), pa.array(bits.astype(np.int32))], schema=schema)
 
         held: list[np.ndarray] = []
         n = 0
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], axis=1)
+            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)], axis=1)
             if not len(x):
                 continue
             held.append(x)
@@ -279,13 +290,14 @@ def near_groups(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("component_id"), F.lit(NO_ID)).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 16, sparse: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 16, both: int = 30, sparse: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are linked with a smaller id, over any number of links.
 
-    Fingerprints within ``budget`` bits propose; a proposed link holds if the
-    shingle sets have a Jaccard similarity of ``similarity`` or more.  At a
-    similarity of 0.8 fingerprints differ in about 9 bits of 64, and hardly ever
-    in over 16; only texts of a few words can differ in more.  Where a trie gives a
+    Fingerprints within ``budget`` bits, and with a second fingerprint within ``both``,
+    propose; a proposed link holds if the shingle sets have a Jaccard similarity of
+    ``similarity`` or more.  At a similarity of 0.8 fingerprints differ in about 9 bits
+    of 64, and hardly ever in over 16, or two in over 30; only texts of a few words
+    can differ in more.  Where a trie gives a
     text over ``sparse`` partners, as in a large group of near copies, the nearest
     that connect the group are checked instead of each with each.  Texts of the same words are one node, whose smallest id stays.
     Texts without words are alike.  Null ids go first.
@@ -299,16 +311,17 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             texts = as_bytes(batch.column("text"))
             hashes = [shingle_hashes(t, shingle) for t in texts]
             prints = np.fromiter((fingerprint(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)
+            second = np.fromiter((fingerprint(mixed(h)) for h in hashes), np.uint64, len(hashes)).view(np.int64)
             same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 1) for t in texts), np.uint64, len(texts)).view(np.int64)
             sizes = [len(np.unique(h)) for h in hashes]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("own"), pa.array(prints), pa.array(same), pa.array(sizes, pa.int64())], names=["doc_id", "own", "fp", "same", "size"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("own"), pa.array(prints), pa.array(second), pa.array(same), pa.array(sizes, pa.int64())], names=["doc_id", "own", "fp", "fp2", "same", "size"])
 
-    rows = slim.withColumn("own", own(F.col("text"))).select("doc_id", "own", "text").mapInArrow(sketch, "doc_id long, own long, fp long, same long, size long")
+    rows = slim.withColumn("own", own(F.col("text"))).select("doc_id", "own", "text").mapInArrow(sketch, "doc_id long, own long, fp long, fp2 long, same long, size long")
     rows = cut(rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("part", part_of("id")))
     # nodes: texts of the same words; named by their smallest row
-    small = rows.groupBy("same", "part").agg(F.min(F.struct("id", "own", "fp", "size")).alias("m")).groupBy("same").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
-    nodes = cut(small.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("print"), F.col("m.size").alias("size")))
-    proposed = links(nodes.select(F.col("same").alias("first"), F.col("print").alias("fp"), "size"), budget, similarity, sparse)
+    named = rows.groupBy("same", "part").agg(F.min(F.struct("id", "own", "fp", "fp2", "size")).alias("m")).groupBy("same").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
+    nodes = cut(named.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("print"), F.col("m.fp2").alias("fp2"), F.col("m.size").alias("size")))
+    proposed = links(nodes.select(F.col("same").alias("first"), F.col("print").alias("fp"), "fp2", "size"), budget, similarity, sparse, both)
     proposed = cut(proposed.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct())
     holds = _similar(slim, nodes, proposed, shingle, similarity, own)
     # back to names that sort by the smallest id
@@ -320,7 +333,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     lost = lost.join(gone_nodes.withColumn("whole", F.lit(True)), "same", "left")
     lost = lost.where("whole or id <> first or own <> first_own").select(F.col("doc_id").alias("lost_id"), F.col("own").alias("lost_own")).distinct()
     lost_id, lost_own = free_name(docs, "lost_id"), free_name(docs, "lost_own")
-    lost = lost.select(F.col("lost_id").alias(lost_id), F.col("lost_own").alias(lost_own))
+    lost = small(cut(lost.select(F.col("lost_id").alias(lost_id), F.col("lost_own").alias(lost_own))), LISTED)
     marked = docs.withColumn(key, own(F.col(text_col)))
     return marked.join(lost, marked[id_col].cast("long").eqNullSafe(lost[lost_id]) & (marked[key] == lost[lost_own]), "left_anti").drop(key)
 
@@ -328,7 +341,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def _similar(slim: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle: int, similarity: float, own) -> DataFrame:
     """Those of the proposed links (a, b) whose shingle sets are similar enough; only texts with a link are read."""
     wanted = proposed.select(F.col("a").alias("same")).union(proposed.select("b")).distinct()
-    wanted = nodes.join(wanted, "same", "left_semi").select("same", F.col("first").alias("w_id"), F.col("own").alias("w_own"))
+    wanted = small(cut(nodes.join(wanted, "same", "left_semi").select("same", F.col("first").alias("w_id"), F.col("own").alias("w_own"))), LISTED)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from ledgerloom.llm import debruijn, decontaminate, exact_dedup, html_extract, mixing, quality, simhash, suffix_index, token_counts, tool_calls
+from ledgerloom.llm.anchors import mixed
 from ledgerloom.llm.components import components
 
 #: Columns whose names an operator uses for itself.
@@ -220,7 +221,9 @@ def test_drop_near_copies(docs, empty):
     assert left.columns == docs.columns
     rows = [(10**9 if i is None else i, t) for i, t in texts()]
     sets = [shingles(t) for _, t in rows]
-    prints = [simhash.fingerprint(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    hashes = [simhash.shingle_hashes((t or "").encode(), 5) for _, t in rows]
+    prints, second = [simhash.fingerprint(h) for h in hashes], [simhash.fingerprint(mixed(h)) for h in hashes]
+    bits = lambda x, a, b: (x[a] ^ x[b]).bit_count()
     same = [b" ".join((t or "").encode().lower().split()) for _, t in rows]
     up = list(range(len(rows)))
 

@@ -23,7 +23,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn.remove_passages(table(spark, sf_dir, "documents"))
+    return debruijn.remove_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: For DuckDB, with every table of the folder as a view.
 ORACLE_SQL: dict[str, str] = {
+    # bytes as pairs of hex digits
+    "op1_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)
+), rep AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first FROM win) WHERE first < doc_id
+), bytes AS (
+  SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, unnest(regexp_extract_all(h, '..')) AS x FROM d
+), marked AS (
+  SELECT bytes.doc_id, x, i, max(p) OVER (PARTITION BY bytes.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM bytes LEFT JOIN rep ON rep.doc_id = bytes.doc_id AND p = i
+), spans AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM marked
+)
+SELECT d.doc_id, count(x) AS n_bytes, count(x) FILTER (gone) AS n_removed, count(x) FILTER (starts) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+""",
+    "op4_debruijn_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 34), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)
+), rep AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1
+), words AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), marked AS (
+  SELECT words.doc_id, x, i, max(p) OVER (PARTITION BY words.doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN rep ON rep.doc_id = words.doc_id AND p = i
+)
+SELECT d.doc_id, count(x) AS n_words, count(x) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id
+""",
     "op7_mix": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents

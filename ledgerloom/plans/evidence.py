@@ -167,10 +167,10 @@ def midpoint_bands(spark, sf_dir):
     return structure.midpoint_bands(columns(spark, sf_dir), "table_id").select("table_id", "id", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"))
 
 
-@query("""SELECT 0 AS table_id, p_partkey AS id, CASE WHEN p_size < 10 THEN 'a' WHEN p_size < 20 THEN 'b' WHEN p_size < 30 THEN 'c' WHEN p_size < 40 THEN 'd' WHEN p_size < 50 THEN 'e' ELSE 'f' END AS canonical FROM part""")
+@query("""SELECT CAST(p_partkey % 5 AS INT) AS table_id, p_partkey AS id, CASE WHEN p_size < 10 THEN 'a' WHEN p_size < 20 THEN 'b' WHEN p_size < 30 THEN 'c' WHEN p_size < 40 THEN 'd' WHEN p_size < 50 THEN 'e' ELSE 'f' END AS canonical FROM part""")
 def band_assignment(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.lit(0).alias("table_id"), F.col("p_partkey").alias("id"), (F.col("p_size") * 10.0).alias("x0"), (F.col("p_size") * 10.0 + 1).alias("x1"))
-    bands = spark.createDataFrame([(0, "a", 0.0, 99.0), (0, "b", 100.0, 199.0), (0, "c", 200.0, 299.0), (0, "d", 300.0, 399.0), (0, "e", 400.0, 499.0), (0, "f", 500.0, 599.0)], "table_id int, canonical string, x0 double, x1 double")
+    words = table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).cast("int").alias("table_id"), F.col("p_partkey").alias("id"), (F.col("p_size") * 10.0).alias("x0"), (F.col("p_size") * 10.0 + 1).alias("x1"))
+    bands = spark.createDataFrame([(t, c, i * 100.0, i * 100.0 + 99) for t in range(5) for i, c in enumerate("abcdef")], "table_id int, canonical string, x0 double, x1 double")
     return structure.assign_bands(words, bands, "table_id", "id")
 
 

@@ -36,6 +36,20 @@ def candidates(refs: DataFrame, blocks: DataFrame, keys: list[list[str]], ref_id
     return reduce(lambda x, y: x.union(y), found).distinct()
 
 
+def rare_word_pairs(refs: DataFrame, blocks: DataFrame, keys: list[str], ref_id: str, block_id: str, n: int = 4) -> DataFrame:
+    """Pairs that agree on the keys and share one of the n words of the reference that are rarest among those blocks.
+
+    A key that most blocks have (one unit of one bank) would pair all with all; a
+    candidate without a rare word in common would not be accepted anyway.
+    """
+    word = F.explode(tokens(F.col("descricao"))).alias("word")
+    have = blocks.select(block_id, *keys, word)
+    often = have.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("often"))
+    w = Window.partitionBy(ref_id).orderBy("often", "word")
+    asked = refs.select(ref_id, *keys, word).join(often, [*keys, "word"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return asked.select(ref_id, *keys, "word").join(have, [*keys, "word"]).select(ref_id, block_id).distinct()
+
+
 def cheap_score(r: str = "r_", b: str = "b_") -> Column:
     """What set measures alone give: words 8, long words 4, trigrams 6, stems 7."""
     c = F.col
@@ -107,8 +121,8 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
 
     ``refs`` and ``blocks`` have code, bank, item, descricao, unit, price, quant.
     Equal code and bank link directly; others are scored among blocks of the same
-    bank that share the item or the code but for its last character, and the unit if
-    those are under twelve.
+    bank that share the item or the code but for its last character, and, if those are
+    under twelve, the unit and a rare word.
     Every reference is scored by itself, so the result does not depend on the order.
     """
     direct = refs.join(blocks.select(F.col(block_id), F.col("code").alias("bc"), F.col("bank").alias("bb")), (F.col("code") == F.col("bc")) & (F.col("bank") == F.col("bb")))
@@ -119,7 +133,7 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
     r, b = rest.withColumn("family", family), blocks.withColumn("family", family)
     pairs = candidates(rest, blocks.where("item <> ''"), [["bank", "item"]], ref_id, block_id).union(candidates(r, b, [["bank", "family"]], ref_id, block_id)).distinct()
     enough = pairs.groupBy(ref_id).agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
-    pairs = pairs.union(candidates(rest.join(enough, ref_id, "left_anti"), blocks, [["bank", "unit"]], ref_id, block_id)).distinct()
+    pairs = pairs.union(rare_word_pairs(rest.join(enough, ref_id, "left_anti"), blocks, ["bank", "unit"], ref_id, block_id)).distinct()
     cols = ["code", "bank", "item", "unit", "price", "quant"]
     left = features(rest.select(ref_id, "descricao", *[F.col(x).alias(f"r_{x}") for x in cols]), "descricao", "r_").drop("descricao")
     right = features(blocks.select(block_id, "descricao", *[F.col(x).alias(f"b_{x}") for x in cols]), "descricao", "b_").drop("descricao")

@@ -7,6 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import sequence_ratio
 from ..functions.text import is_code, is_money, norm_lower
 
 #: Names by which the columns of a composition table go.
@@ -16,10 +17,11 @@ HEADERS = {
 }
 
 
-def header_map(cells: DataFrame, table: str = "table_id", index: str = "col_index", text: str = "text", aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """The column of each canonical name: an exact alias first, then the longest alias that is a whole phrase in the header.
+def header_map(cells: DataFrame, table: str = "table_id", index: str = "col_index", text: str = "text", aliases: dict[str, list[str]] | None = None, min_similarity: float | None = 0.88) -> DataFrame:
+    """The column of each canonical name: an exact alias first, then the longest alias that is a whole phrase in the header, then the most like one.
 
-    Aliases of one or two letters only match exactly.  Each header names one column,
+    Aliases of one or two letters only match exactly.  Likeness is looked at for
+    headers that nothing else names, if at all (``min_similarity``).  Each header names one column,
     and of several headers of a name the first column counts.
     """
     spark = cells.sparkSession
@@ -33,6 +35,11 @@ def header_map(cells: DataFrame, table: str = "table_id", index: str = "col_inde
     tier = F.when(F.col("head") == F.col("alias"), 0).when(phrase, 1)
     scored = pairs.withColumn("tier", tier).where("tier is not null")
     best = scored.groupBy(table, index).agg(F.min_by("canonical", F.struct("tier", -F.length("alias"), "ord")).alias("canonical"))
+    if min_similarity is not None:
+        rest = heads.join(best, [table, index], "left_anti").select("head").distinct()
+        like = rest.join(F.broadcast(known)).withColumn("ratio", sequence_ratio("head", "alias")).where(F.col("ratio") >= min_similarity)
+        like = like.groupBy("head").agg(F.max_by("canonical", F.struct("ratio", -F.col("ord"))).alias("canonical"))
+        best = best.unionByName(heads.join(best, [table, index], "left_anti").join(like, "head").select(table, index, "canonical"))
     return best.groupBy(table, "canonical").agg(F.min(index).alias(index))
 
 

@@ -100,6 +100,12 @@ def test_header_map(spark):
     assert {k: got[k] for k in ("und", "quant", "valor_unit", "total")} == {"und": 4, "quant": 5, "valor_unit": 6, "total": 7}
 
 
+def test_misread_header(spark):
+    cells = spark.createDataFrame([("t", 0, "Descricaao"), ("t", 1, "Quantidadee"), ("t", 2, "Tipo")], "table_id string, col_index int, text string")
+    assert {r.canonical: r.col_index for r in structure.header_map(cells).collect()} == {"descricao": 0, "quant": 1}
+    assert structure.header_map(cells, min_similarity=None).count() == 0
+
+
 def test_continuation_down_and_up(spark):
     lines = spark.createDataFrame([(1, 50.0, "SERVENTE JUNIOR COM", ""), (1, 62.0, "ENCARGOS COMPLEMENTARES", ""), (1, 74.0, "1.2 OUTRO", "budget_item_boundary")], "page int, y double, text string, barrier string")
     anchors = spark.createDataFrame([(1, 7, 50.0)], "page int, anchor_id long, y double")

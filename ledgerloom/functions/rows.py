@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import clean
-from .text import literal
+from .text import let, literal
 
 #: Fixed value: a number with a decimal comma, as rows end in.
 NUMBER = r"\d{1,3}(?:\.\d{3})*,\d{1,8}|\d+,\d{1,8}"
@@ -45,14 +45,16 @@ def expected_tail(c: Column, expected: Column) -> Column:
 
 def tail_status(c: Column) -> Column:
     """consistent if the first and the last tail agree, ambiguous if not, missing if there is none."""
-    tails = all_tails(c)
-    return F.when(F.size(tails) == 0, "missing").when(F.try_element_at(tails, F.lit(1)) == F.try_element_at(tails, F.lit(-1)), "consistent").otherwise("ambiguous")
+    status = lambda t: F.when(F.size(t) == 0, "missing").when(F.try_element_at(t, F.lit(1)) == F.try_element_at(t, F.lit(-1)), "consistent").otherwise("ambiguous")
+    return let(all_tails(c), status)
 
 
 def parse_row(c: Column) -> Column:
     """kind, code, bank, description and tail of a row: the code stands before the bank, the description between the two and the tail."""
-    s = clean(c)
-    tail = numeric_tail(s)
+    return let(clean(c), lambda s: let(numeric_tail(s), lambda tail: _parsed(s, tail)))
+
+
+def _parsed(s: Column, tail: Column) -> Column:
     kind = F.regexp_extract(s, KIND, 1)
     bank = F.upper(F.regexp_extract(s, BANK, 1))
     head = F.when(bank != "", F.regexp_extract(s, rf"(?i)^(.*?)\b(?:{BANKS})\b", 1)).otherwise(s)

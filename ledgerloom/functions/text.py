@@ -160,9 +160,9 @@ def _after(c: Column, marker: str) -> Column:
 
 def suspicious_suffix(c: Column) -> Column:
     """Three words or more after the end of a known service: a heading stuck to it."""
-    rest = _after(norm_upper(c), "COM ENCARGOS COMPLEMENTARES")
-    words = F.split(rest, r"\s+")
-    return F.coalesce((rest != "") & (F.size(words) >= 3), F.lit(False))
+    marker = "COM ENCARGOS COMPLEMENTARES"
+    rest = let(norm_upper(c), lambda upper: _after(upper, marker))
+    return let(rest, lambda r: F.coalesce((r != "") & (F.size(F.split(r, r"\s+")) >= 3), F.lit(False)))
 
 
 def concatenated_categories(c: Column) -> Column:
@@ -178,18 +178,21 @@ def concatenated_categories(c: Column) -> Column:
 
 def pollution_reason(c: Column) -> Column:
     """Why a text can be no description; empty if it can."""
-    raw, upper = clean(c), norm_upper(c)
-    out = F.when(raw == "", "empty_candidate").when(suspicious_suffix(raw), "suspicious_suffix_after_encargos_complementares").when(concatenated_categories(raw), "concatenated_category_text")
-    for term in POLLUTION_TERMS:
-        out = out.when(F.contains(upper, F.lit(_plain_upper(term))), f"pollution_term:{term}")
     repeated = "|".join(rf"\b{w}\b(\s+\b{w}\b)+" for w in CATEGORY_WORDS)
-    return (
-        out.when(upper.rlike(repeated), "repeated_category_label")
-        .when(F.regexp_count(raw, F.lit(r"(?<![A-Z0-9])\d{1,3}(\.\d{3})*,\d{2,7}(?![A-Z0-9])")) >= 4, "long_numeric_sequence")
-        .when(raw.rlike(r"^[\d\s.,%/\-]+$"), "numeric_only_text")
-        .when((F.length(raw) > 300) & ~F.contains(F.upper(raw), F.lit("AF_")), "candidate_too_long_without_service_anchor")
-        .otherwise("")
-    )
+
+    def reason(raw: Column, upper: Column) -> Column:
+        out = F.when(raw == "", "empty_candidate").when(suspicious_suffix(raw), "suspicious_suffix_after_encargos_complementares").when(concatenated_categories(raw), "concatenated_category_text")
+        for term in POLLUTION_TERMS:
+            out = out.when(F.contains(upper, F.lit(_plain_upper(term))), f"pollution_term:{term}")
+        return (
+            out.when(upper.rlike(repeated), "repeated_category_label")
+            .when(F.regexp_count(raw, F.lit(r"(?<![A-Z0-9])\d{1,3}(\.\d{3})*,\d{2,7}(?![A-Z0-9])")) >= 4, "long_numeric_sequence")
+            .when(raw.rlike(r"^[\d\s.,%/\-]+$"), "numeric_only_text")
+            .when((F.length(raw) > 300) & ~F.contains(F.upper(raw), F.lit("AF_")), "candidate_too_long_without_service_anchor")
+            .otherwise("")
+        )
+
+    return let(clean(c), lambda raw: let(F.upper(unmarked(F.upper(raw))), lambda upper: reason(raw, upper)))
 
 
 def _plain_upper(s: str) -> str:
@@ -204,16 +207,19 @@ def is_truncated(c: Column) -> Column:
 
 def quality_score(c: Column) -> Column:
     """How much a text looks like a whole description; 0 for polluted ones."""
-    raw = clean(c)
-    score = (
-        F.least(F.length(raw) / 140.0, F.lit(1.0)) * 3.0
-        + F.least(F.size(F.split(raw, " ")) / 20.0, F.lit(1.0)) * 2.0
-        + F.when(raw.rlike(ANCHOR), 0.8).otherwise(0.0)
-        + F.when(raw.rlike(r"[()/\-]"), 0.25).otherwise(0.0)
-        - F.when(is_truncated(raw), 0.9).otherwise(0.0)
-        - F.when(is_money(raw), 3.0).otherwise(0.0)
-    )
-    return F.when((raw == "") | (pollution_reason(raw) != ""), F.lit(0.0)).otherwise(F.round(F.greatest(score, F.lit(0.0)), 4))
+
+    def score(raw: Column) -> Column:
+        points = (
+            F.least(F.length(raw) / 140.0, F.lit(1.0)) * 3.0
+            + F.least(F.size(F.split(raw, " ")) / 20.0, F.lit(1.0)) * 2.0
+            + F.when(raw.rlike(ANCHOR), 0.8).otherwise(0.0)
+            + F.when(raw.rlike(r"[()/\-]"), 0.25).otherwise(0.0)
+            - F.when(is_truncated(raw), 0.9).otherwise(0.0)
+            - F.when(is_money(raw), 3.0).otherwise(0.0)
+        )
+        return F.when((raw == "") | (pollution_reason(raw) != ""), F.lit(0.0)).otherwise(F.round(F.greatest(points, F.lit(0.0)), 4))
+
+    return let(clean(c), score)
 
 
 def public_issue(c: Column) -> Column:

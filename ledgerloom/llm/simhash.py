@@ -36,6 +36,9 @@ CHUNK = 150_000
 LINKS = 1_000_000
 #: Ids up to which a list of them is sent to all executors, so that the texts need not be shuffled: 24 bytes each.
 LISTED = 200_000
+#: Texts by which shingles are counted, and how many of the most frequent shingles are known to all tasks.
+COUNTED = 20_000
+FREQUENT = 100_000
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -293,13 +296,12 @@ def near_groups(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 16, both: int = 30, sparse: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are linked with a smaller id, over any number of links.
 
-    Fingerprints within ``budget`` bits, and with a second fingerprint within ``both``,
-    propose; a proposed link holds if the shingle sets have a Jaccard similarity of
-    ``similarity`` or more.  At a similarity of 0.8 fingerprints differ in about 9 bits
-    of 64, and hardly ever in over 16, or two in over 30; only texts of a few words
-    can differ in more.  Where a trie gives a
-    text over ``sparse`` partners, as in a large group of near copies, the nearest
-    that connect the group are checked instead of each with each.  Texts of the same words are one node, whose smallest id stays.
+    Two texts are linked if their shingle sets have a Jaccard similarity of
+    ``similarity`` or more.  Fingerprints of the sets, within ``budget`` bits and with
+    a second one within ``both``, propose links first, in forests that join large
+    groups cheaply; what they do not propose is left to ``_across``, which loses no
+    link between two of the groups found.  Proposals hold if the sets are similar enough.
+    Texts of the same words are one node, whose smallest id stays.
     Texts without words are alike.  Null ids go first.
     """
     key = free_name(docs, "text_key")
@@ -326,8 +328,22 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     holds = _similar(slim, nodes, proposed, shingle, similarity, own)
     # back to names that sort by the smallest id
     name = nodes.select("same", F.struct("first", "same").alias("node"))
-    ab = holds.join(name.withColumnsRenamed({"same": "a", "node": "na"}), "a").join(name.withColumnsRenamed({"same": "b", "node": "nb"}), "b")
-    label = components(ab.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+
+    def named_by_id(pairs: DataFrame) -> DataFrame:
+        ab = pairs.join(name.withColumnsRenamed({"same": "a", "node": "na"}), "a").join(name.withColumnsRenamed({"same": "b", "node": "nb"}), "b")
+        return ab.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+    label = cut(components(named_by_id(holds)))
+    top = _frequent(slim, shingle)
+    tested = None
+    for one in (True, False):  # first a pair of two groups for each shingle, so that few groups are left to be held against each other
+        found = _across(slim, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), shingle, similarity, top, one)
+        tested, found = found, found if tested is None else cut(found.join(tested, ["a", "b"], "left_anti"))
+        if found.isEmpty():
+            break
+        more = cut(named_by_id(_similar(slim, nodes, found, shingle, similarity, own)))
+        if not more.isEmpty():
+            label = cut(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
     gone_nodes = label.where("node <> label").select(F.col("node.same").alias("same"))
     lost = rows.join(nodes.select("same", F.explode("parts").alias("part"), "first", F.col("own").alias("first_own")), ["same", "part"])
     lost = lost.join(gone_nodes.withColumn("whole", F.lit(True)), "same", "left")
@@ -338,6 +354,127 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     return marked.join(lost, marked[id_col].cast("long").eqNullSafe(lost[lost_id]) & (marked[key] == lost[lost_own]), "left_anti").drop(key)
 
 
+def _frequent(slim: DataFrame, shingle: int) -> np.ndarray:
+    """The most frequent shingles of some of the texts, the most frequent first.  Only the order of prefixes rests on them."""
+    share = min(1.0, COUNTED / max(1, slim.count()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in as_bytes(batch.column("text"))]), return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    some = slim.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else slim
+    top = some.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of a set the rarest members, so many that a set as similar as ``similarity`` has one of its own rarest among them.
+
+    The order, the same for all sets, is by ``rank`` of the hashes in ``known`` (sorted), which come after all others, then by hash.
+    """
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    place = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        place = np.where(known[at] == hashes, rank[at], 0)
+    return hashes[np.lexsort((hashes, place))[:n]]
+
+
+def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float, one: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unlike label that share a token and may be as similar as ``similarity``, by their sizes and the token's places; some at a time.  With ``one`` a pair for each token and two labels."""
+    order = np.lexsort((same, size, token))
+    token, same, label, size, pos = (x[order] for x in (token, same, label, size, pos))
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (same[1:] != same[:-1])))  # repeated texts
+    token, same, label, size, pos = (x[new] for x in (token, same, label, size, pos))
+    group = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
+    wide = int(size.max()) + 2
+    most = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), wide - 1)
+    partners = np.searchsorted(group * wide + size, group * wide + most, "right") - np.arange(len(size)) - 1
+    at = np.flatnonzero(partners > 0)
+    upto = np.cumsum(partners[at])
+    start = 0
+    while start < len(at):
+        done = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, done + AT_ONCE, "right")))
+        i = np.repeat(at[start:stop], partners[at[start:stop]])
+        first = np.repeat(upto[start:stop] - partners[at[start:stop]] - done, partners[at[start:stop]])
+        j = i + 1 + np.arange(len(i)) - first
+        start = stop
+        good = label[i] != label[j]
+        i, j = i[good], j[good]
+        # the shared token that comes first in both: no other can be shared before it
+        good = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+        i, j = i[good], j[good]
+        if one:
+            two = np.stack((group[i], np.minimum(label[i], label[j]), np.maximum(label[i], label[j])), axis=1)
+            _, kept = np.unique(two, axis=0, return_index=True)
+            i, j = i[kept], j[kept]
+        pairs = np.unique(np.stack((np.minimum(same[i], same[j]), np.maximum(same[i], same[j])), axis=1), axis=0)
+        yield pairs[:, 0], pairs[:, 1]
+
+
+def _across(slim: DataFrame, label: DataFrame, shingle: int, similarity: float, top: np.ndarray, one: bool) -> DataFrame:
+    """a, b: all pairs of unlike label that may be as similar as ``similarity``; a text not in ``label`` (same, label) is its own.
+
+    A prefix filter: sets of that similarity share a shingle within their prefixes, so
+    pairs come from blocks of one shingle, and none is lost.  With ``one`` there is
+    but a pair of two labels in a block.
+    """
+    p = partitions(slim.sparkSession)
+    order = np.argsort(top)
+    given = slim.sparkSession.sparkContext.broadcast((top[order], len(top) - order))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = given.value
+        seen: set[int] = set()
+        for batch in batches:
+            found: list[tuple[int, int, np.ndarray]] = []
+            for t in as_bytes(batch.column("text")):
+                same = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 1)
+                if same not in seen and len(h := np.unique(shingle_hashes(t, shingle))):
+                    found.append((same, len(h), prefix(h, similarity, known, rank)))
+                    seen.add(same)
+            if len(seen) > LINKS:
+                seen.clear()
+            if found:
+                n = [len(h) for _, _, h in found]
+                columns = (
+                    np.concatenate([h for _, _, h in found]).view(np.int64), np.repeat(np.array([s for s, _, _ in found], np.uint64).view(np.int64), n),
+                    np.repeat(np.array([s for _, s, _ in found], np.int32), n), np.concatenate([np.arange(x, dtype=np.int32) for x in n]),
+                )
+                yield pa.record_batch([pa.array(x) for x in columns], names=["token", "same", "size", "pos"])
+
+    rows = slim.select("text").mapInArrow(prefixes, "token long, same long, size int, pos int").join(small(cut(label), LISTED), "same", "left")
+    rows = rows.select("token", "same", F.coalesce("label", "same").alias("label"), "size", "pos").repartition(p, "token").sortWithinPartitions("token")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(parts: list[list[np.ndarray]], upto: int | None = None) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x)[:upto].astype(np.int64) for x in zip(*parts)]
+            for a, b in block_pairs(*columns, similarity, one) if len(columns[0]) else ():
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= CHUNK:  # all blocks but the last, which may go on
+                token = np.concatenate([x[0] for x in held])
+                last = int(np.searchsorted(token, token[-1]))
+                if last:
+                    yield from of(held, last)
+                    held = [[np.concatenate(x)[last:] for x in zip(*held)]]
+                    n -= last
+        if n:
+            yield from of(held)
+
+    return cut(rows.mapInArrow(pairs, "a long, b long").distinct())
+
+
 def _similar(slim: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle: int, similarity: float, own) -> DataFrame:
     """Those of the proposed links (a, b) whose shingle sets are similar enough; only texts with a link are read."""
     wanted = proposed.select(F.col("a").alias("same")).union(proposed.select("b")).distinct()

@@ -245,6 +245,57 @@ def test_drop_near_copies(docs, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def left_by_force(rows):
+    """The smallest id of each group of texts that shingle sets link."""
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {i for n, (i, _) in enumerate(rows) if top(n) == n}
+
+
+def test_drop_near_copies_in_a_group_of_one_template(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    form = [word() for _ in range(165)]
+    rows = [(i, " ".join(form + [word() for _ in range(35)])) for i in range(500)]  # unlike, but within the bits of one another
+    for i in range(60):
+        w = rows[i][1].split()
+        for at in (20, 60, 100, 140):
+            w[at + i % 30] = word()
+        rows.append((1000 + i, " ".join(w)))
+    want = left_by_force(rows)
+    assert len(want) == 500
+    assert {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_prefix_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+        sets = [np.unique(rng.choice(base, rng.integers(1, 60))) for _ in range(60)]
+        sets += [np.unique(np.concatenate((x[: rng.integers(0, 3)], x[rng.integers(0, 4) :]))) for x in sets]
+        known = np.sort(base[:20])
+        cut = [simhash.prefix(x, 0.8, known, np.arange(1, 21)) for x in sets]
+        n = [len(x) for x in cut]
+        same = np.repeat(np.arange(len(sets)), n)
+        rows = (np.concatenate(cut).view(np.int64), same, same, np.repeat([len(x) for x in sets], n), np.concatenate([np.arange(x) for x in n]))
+        got = {(a, b) for x, y in simhash.block_pairs(*rows, 0.8) for a, b in zip(x.tolist(), y.tolist())}
+        for b in range(len(sets)):
+            for a in range(b):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert both == 0 or both < 0.8 * (len(sets[a]) + len(sets[b]) - both) or (a, b) in got
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2100)] + [(None, 3), (4, 4)]

@@ -311,11 +311,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            hashes = [shingle_hashes(t, shingle) for t in texts]
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             prints = np.fromiter((fingerprint(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)
             second = np.fromiter((fingerprint(mixed(h)) for h in hashes), np.uint64, len(hashes)).view(np.int64)
             same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 1) for t in texts), np.uint64, len(texts)).view(np.int64)
-            sizes = [len(np.unique(h)) for h in hashes]
+            sizes = [len(h) for h in hashes]
             yield pa.record_batch([batch.column("doc_id"), batch.column("own"), pa.array(prints), pa.array(second), pa.array(same), pa.array(sizes, pa.int64())], names=["doc_id", "own", "fp", "fp2", "same", "size"])
 
     rows = slim.withColumn("own", own(F.col("text"))).select("doc_id", "own", "text").mapInArrow(sketch, "doc_id long, own long, fp long, fp2 long, same long, size long")

@@ -278,6 +278,21 @@ def test_drop_near_copies_in_a_group_of_one_template(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_drop_near_copies_with_repeated_lines_and_of_few_words(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows = []
+    for i in range(30):
+        w = [word() for _ in range(150)]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(w + 20 * w[-15:]))]
+    for i in range(200):  # four of five shingles
+        w = [word() for _ in range(8)]
+        rows += [(2000 + i, " ".join(w)), (3000 + i, " ".join([*w, word()]))]
+    want = left_by_force(rows)
+    assert len(want) == 230
+    assert {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_prefix_pairs_lose_no_similar_pair():
     rng = np.random.default_rng(6)
     for _ in range(20):

@@ -9,6 +9,12 @@ every passage to the latent space, takes all items with a cosine of ``min_cosine
 or more, and holds each against the words: their longest common subsequence must
 cover ``min_common`` of the item and ``min_answer`` of its answer, its last quarter.
 
+What the cosine passes over, such as a short item among many words of the benchmark,
+is sought by words: a run that covers ``min_common`` of an item lacks no more than the
+rest of its words, so of the rarer half of them it has a known number.  Windows of
+blocks that have as many are held against the words as well; no run of up to
+``SPARE`` words more than the item is lost.
+
 The benchmark is the query set and is held by every task, as are its words times
 ``rank`` numbers; neither grows with the documents.  Items weigh in on the
 decomposition like the documents do, so that with fewer items than ``rank`` the
@@ -30,6 +36,8 @@ from .common import id_and_text
 
 #: Words of a block; a passage is two blocks in a row.
 BLOCK = 32
+#: Words that may come between those of an item.
+SPARE = 8
 #: Features summed together.
 SLICE = 64
 _PUNCTUATION = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -282,6 +290,46 @@ class Search:
         self.queries = _unit(np.array(queries, np.float32)).T.copy()
         self.of = np.array(self.of)
         self.lists = [w.tolist() for w in items.words]
+        # of each item its rarer words, and how many of them a run that holds it cannot lack; items by the blocks that a run may touch
+        wide = np.array([(len(w) + SPARE - 2) // BLOCK + 2 for w in items.words])
+        self.by_width = np.argsort(wide, kind="stable")
+        self.wide, self.width_at = np.unique(wide[self.by_width], return_index=True)
+        self.least = np.zeros(len(wide), np.int32)
+        pairs = []
+        for place, i in enumerate(self.by_width.tolist()):
+            feature = items.vocabulary.find(items.words[i])
+            lacks = len(feature) - int(np.ceil(min_common * len(feature) - 1e-9))
+            n = min(len(feature), max(-(-len(feature) // 2), lacks + 1))
+            self.least[place] = n - lacks
+            pairs += [(f, place) for f in feature[np.argsort(frequency[feature], kind="stable")[:n]].tolist()]
+        feature, self.place = np.array(sorted(pairs)).T
+        self.places_at = np.searchsorted(feature, np.arange(len(items.vocabulary) + 1))
+
+    def windows(self, t: Tokens, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """First block, number after the last, and item: all windows that may hold the item by its rarer words."""
+        times = np.diff(self.places_at)
+        rarer = times[t.feature] > 0
+        block, feature = np.divmod(np.unique(t.block[rarer] * len(times) + t.feature[rarer]), len(times))
+        n = times[feature]
+        place = self.place[np.repeat(self.places_at[feature] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        size = len(doc) + 1, len(self.least)
+        upto = np.bincount((np.repeat(block, n) + 1) * size[1] + place, minlength=size[0] * size[1]).astype(np.int32).reshape(size)
+        np.cumsum(upto, axis=0, out=upto)
+        end = t.blocks[1:][doc]
+        for wide, a, b in zip(self.wide.tolist(), self.width_at.tolist(), [*self.width_at[1:].tolist(), size[1]]):
+            stop = np.minimum(np.arange(len(doc)) + wide, end)
+            at, j = np.nonzero(upto[stop, a:b] - upto[:-1, a:b] >= self.least[a:b])
+            yield from zip(at.tolist(), stop[at].tolist(), self.by_width[a + j].tolist())
+
+    def holds(self, item: int, part: list[int]) -> tuple[float, float] | None:
+        """Shares of item and answer that are in ``part``, if they are enough."""
+        words = self.lists[item]
+        share = common_words(words, part) / len(words)
+        if share < self.min_common:
+            return None
+        answer = words[-max(1, len(words) // 4) :]
+        end = common_words(answer, part) / len(answer)
+        return (share, end) if end >= self.min_answer else None
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
         """Number of text, number of item, cosine, shares of item and answer; the best passage of each pair."""
@@ -304,18 +352,21 @@ class Search:
                 if (d, i, at) in done:
                     continue
                 done.add((d, i, at))
-                words = self.lists[i]
-                spare = len(words) + 8
+                spare = len(self.lists[i]) + SPARE
                 start = int(t.bounds[d]) + (at - int(t.blocks[d])) * BLOCK
                 part = t.hashes[max(int(t.bounds[d]), start - spare) : min(int(t.bounds[d + 1]), start + 2 * BLOCK + spare)].tolist()
-                share = common_words(words, part) / len(words)
-                if share < self.min_common:
-                    continue
-                answer = words[-max(1, len(words) // 4) :]
-                end = common_words(answer, part) / len(answer)
-                if end < self.min_answer:
+                if held := self.holds(i, part):
+                    seen[d, i] = max(seen.get((d, i), (0.0, 0.0, 0.0)), (held[0], float(cosine[at, j[k]]), held[1]))
+            by_words: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for at, stop, i in self.windows(t, doc):
+                d = int(doc[at])
+                if (d, i) in seen:
                     continue
-                seen[d, i] = max(seen.get((d, i), (0.0, 0.0, 0.0)), (share, float(cosine[at, j[k]]), end))
+                start = int(t.bounds[d]) - int(t.blocks[d]) * BLOCK
+                part = t.hashes[start + at * BLOCK : min(int(t.bounds[d + 1]), start + stop * BLOCK)].tolist()
+                if held := self.holds(i, part):
+                    by_words[d, i] = max(by_words.get((d, i), (0.0, 0.0, 0.0)), (held[0], float(cosine[at:stop, self.of == i].max()), held[1]))
+            seen |= by_words
             out += [(a + d, i, c, s, e) for (d, i), (s, c, e) in seen.items()]
         return out
 

@@ -488,6 +488,33 @@ def test_leaks(spark):
     assert decontaminate.drop_contaminated(docs, items.where("item_id >= 50")).count() == docs.count()
 
 
+def test_leaks_of_short_items_among_words_of_the_benchmark(spark):
+    rng = random.Random(12)
+    vocab = [f"p{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(15, 24)))) for i in range(40)]
+    rows = []
+    for d in range(160):
+        few = rng.sample(vocab, 2)
+        heavy = [rng.choice(few) for _ in range(rng.randint(80, 160))]
+        w = items[d % 40][1].split()
+        if d >= 80:  # a few words more, a few others
+            w[3] = w[9] = "outra"
+            w[6:6] = ["mais", "uma"]
+        at = rng.randint(0, len(heavy))
+        rows.append((d, " ".join(heavy[:at] + w + heavy[at:])))
+    search = lambda w, part: (decontaminate.common_words(w, part) >= 0.7 * len(w)) and decontaminate.common_words(a := w[-max(1, len(w) // 4) :], part) >= 0.5 * len(a)
+    want = set()
+    for d, t in rows:
+        t = t.split()
+        for i, w in items:
+            w = w.split()
+            if any(search(w, t[at : at + len(w) + decontaminate.SPARE]) for at in range(len(t))):
+                want.add((d, i))
+    assert {(d, d % 40) for d in range(160)} <= want
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want <= got
+
+
 def test_common_words():
     rng = random.Random(4)
     for _ in range(300):

@@ -17,6 +17,10 @@ from ..functions.text import norm_upper, semantic_tokens, tokens
 from .sets import first_by
 
 
+#: Blocks up to which their hashed words, about 1 KB each, are broadcast.
+BROADCAST_ROWS = 50_000
+
+
 def features(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """The columns by which descriptions are compared."""
     t = F.col(text)
@@ -36,20 +40,6 @@ def candidates(refs: DataFrame, blocks: DataFrame, keys: list[list[str]], ref_id
     return reduce(lambda x, y: x.union(y), found).distinct()
 
 
-def rare_word_pairs(refs: DataFrame, blocks: DataFrame, keys: list[str], ref_id: str, block_id: str, n: int = 4) -> DataFrame:
-    """Pairs that agree on the keys and share one of the n words of the reference that are rarest among those blocks.
-
-    A key that most blocks have (one unit of one bank) would pair all with all; a
-    candidate without a rare word in common would not be accepted anyway.
-    """
-    word = F.explode(tokens(F.col("descricao"))).alias("word")
-    have = blocks.select(block_id, *keys, word)
-    often = have.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("often"))
-    w = Window.partitionBy(ref_id).orderBy("often", "word")
-    asked = refs.select(ref_id, *keys, word).join(often, [*keys, "word"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    return asked.select(ref_id, *keys, "word").join(have, [*keys, "word"]).select(ref_id, block_id).distinct()
-
-
 def cheap_score(r: str = "r_", b: str = "b_") -> Column:
     """What set measures alone give: words 8, long words 4, trigrams 6, stems 7."""
     c = F.col
@@ -121,8 +111,8 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
 
     ``refs`` and ``blocks`` have code, bank, item, descricao, unit, price, quant.
     Equal code and bank link directly; others are scored among blocks of the same
-    bank that share the item or the code but for its last character, and, if those are
-    under twelve, the unit and a rare word.
+    bank that share the item or the code but for its last character, and the unit if
+    those are under twelve; where no block shares item or code, among all of the bank.
     Every reference is scored by itself, so the result does not depend on the order.
     """
     direct = refs.join(blocks.select(F.col(block_id), F.col("code").alias("bc"), F.col("bank").alias("bb")), (F.col("code") == F.col("bc")) & (F.col("bank") == F.col("bb")))
@@ -132,13 +122,21 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
     family = F.explode(F.when(F.length("code") >= 6, F.array(F.col("code"), F.expr("substring(code, 1, length(code) - 1)"))).otherwise(F.array("code")))
     r, b = rest.withColumn("family", family), blocks.withColumn("family", family)
     pairs = candidates(rest, blocks.where("item <> ''"), [["bank", "item"]], ref_id, block_id).union(candidates(r, b, [["bank", "family"]], ref_id, block_id)).distinct()
-    enough = pairs.groupBy(ref_id).agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
-    pairs = pairs.union(rare_word_pairs(rest.join(enough, ref_id, "left_anti"), blocks, ["bank", "unit"], ref_id, block_id)).distinct()
+    found = pairs.groupBy(ref_id).agg(F.count(F.lit(1)).alias("n"))
+    few = rest.join(found.where("n < 12").select(ref_id), ref_id, "left_semi").where("unit <> ''")
+    none = rest.join(found.select(ref_id), ref_id, "left_anti")
+    pairs = pairs.union(candidates(few, blocks, [["bank", "unit"]], ref_id, block_id)).distinct().union(candidates(none, blocks, [["bank"]], ref_id, block_id))
     cols = ["code", "bank", "item", "unit", "price", "quant"]
     left = features(rest.select(ref_id, "descricao", *[F.col(x).alias(f"r_{x}") for x in cols]), "descricao", "r_").drop("descricao")
     right = features(blocks.select(block_id, "descricao", *[F.col(x).alias(f"b_{x}") for x in cols]), "descricao", "b_").drop("descricao")
-    scored = pairs.join(left, ref_id).join(right, block_id).withColumn("cheap", cheap_score())
-    scored = full_score(shortlist(scored, ref_id, block_id, "cheap", k))
+    # the cheap score sees all pairs: by hashes of the words, and texts follow for the shortlist only
+    words = ["tokens", "anchors", "grams", "stems"]
+    slim = lambda df, id_, x: df.select(id_, *[F.transform(f"{x}{c}", lambda v: F.xxhash64(v)).alias(f"{x}{c}") for c in words])
+    b_slim = slim(right, block_id, "b_")
+    if len(blocks.select(block_id).limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:
+        b_slim = F.broadcast(b_slim)
+    short = shortlist(pairs.join(slim(left, ref_id, "r_"), ref_id).join(b_slim, block_id).select(ref_id, block_id, cheap_score().alias("cheap")), ref_id, block_id, "cheap", k)
+    scored = full_score(short.join(left, ref_id).join(right, block_id))
     w = Window.partitionBy(ref_id).orderBy(F.col("score").desc(), block_id)
     best = scored.withColumns({"place": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(-1.0))}).where("place = 1")
     best = best.withColumn("ok", accepts(F.col("score"), F.col("second"))).select(ref_id, F.when(F.col("ok"), F.col(block_id)).alias("guess"), F.round("score", 4).alias("score"))

@@ -239,3 +239,14 @@ def test_sets_on_empty_tables(spark):
     assert sets.first_by(none, ["k"], ["v"]).count() == 0
     assert sets.upsert(none, none, "k", ["v"]).count() == 0
     assert sets.field_diff(none, none, "k", ["v"]).count() == 0
+
+
+def test_resolve_sees_the_whole_unit_group_and_the_pool(spark):
+    cols = "code string, bank string, item string, descricao string, unit string, price double, quant double"
+    blocks = [(1, "900001", "SINAPI", "1.1", "TUBO PVC ESGOTO PREDIAL DN CINQUENTA", "M", 10.0, 1.0), (2, "900002", "SINAPI", "1.2", "TORNEIRA METAL CROMADA PAREDE COZINHA", "UN", 70.0, 2.0)]
+    # the rarest words of the reference are found in other blocks of the unit
+    blocks += [(10 + i, f"80000{i}", "SINAPI", f"7.{i}", f"{w} DIVERSO", "M", 500.0, 3.0) for i, w in enumerate(("TUBOS", "PVCX", "ESGOTOS", "PREDIALL"))]
+    blocks += [(20 + i, f"70000{i}", "SINAPI", f"8.{i}", "DN CINQUENTA OUTRA COISA", "M", 900.0, 4.0) for i in range(5)]
+    refs = [(1, "111111", "SINAPI", "7.0", "TUBOS PVCX ESGOTOS PREDIALL DN CINQUENTA", "M", 10.0, 1.0), (2, "222222", "SINAPI", "", "TORNEIRA METAL CROMADA PAREDE COZINHA", "PÇ", 70.0, 2.0)]
+    got = {r.ref_id: r.block_id for r in linkage.resolve(spark.createDataFrame(refs, f"ref_id long, {cols}"), spark.createDataFrame(blocks, f"block_id long, {cols}")).collect()}
+    assert got == {1: 1, 2: 2}

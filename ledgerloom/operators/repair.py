@@ -6,13 +6,12 @@ expected values from arithmetic go to columns of their own.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_empty
 from ..functions.rows import expected_tail
+from ..lineage import cut
 
 #: Rounds after which repair stops in any case.
 MAX_ROUNDS = 8
@@ -20,15 +19,6 @@ MAX_ROUNDS = 8
 CONTEXTUAL = ("quant",)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom-"))
-    return df.checkpoint(eager=True)
-
-
 def cross_fill(rows: DataFrame, row_id: str, key: str, fields: list[str], valid: dict[str, Column] | None = None) -> DataFrame:
     """Empty fields from the other rows of the key, where those agree on one value."""
     usable = [f for f in fields if f not in CONTEXTUAL]

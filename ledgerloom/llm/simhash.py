@@ -6,54 +6,33 @@ bits by which the two differ are counted on the way, and a pair is dropped as
 soon as it has more than the budget.  A pair whose bits left fit in the budget
 needs no further look: all below it are linked.
 
-To divide the work, the bits are cut into budget + 1 blocks.  Two fingerprints
-within the budget agree on one block at least, so one trie for each value of each
-block finds every link.  A task returns a spanning forest of the links in it, so
-a group of thousands of copies never becomes millions of pairs.
+To divide the work, the bits are cut into budget + 2 blocks.  Two fingerprints
+within the budget agree on two blocks at least, so one trie for each value of each
+two blocks finds every link.  A task returns a spanning forest of the links in it,
+so a group of thousands of copies never becomes millions of pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import mixed
-from .common import as_bytes, cut, free_name, id_and_text, partitions, small
+from .common import as_bytes, cut, free_name, id_and_text, partitions, whole_groups
 from .components import components, part_of
+from .overlap import FREQUENT, Counts, alike_pairs, blocks_of_two, pairs_in_blocks
+from .shingles import shingle_hashes, words_id
 
-SEED = 42
 BITS = 64
 NO_ID = 2**63 - 1
-#: Comparisons made at once, and rows that a task takes before it joins its tries.
+#: Comparisons made at once.
 AT_ONCE = 2_000_000
-CHUNK = 150_000
 #: Links kept before they are cut down to a forest.
 LINKS = 1_000_000
-#: Ids up to which a list of them is sent to all executors, so that the texts need not be shuffled: 24 bytes each.
-LISTED = 200_000
-#: Texts by which shingles are counted, and how many of the most frequent shingles are known to all tasks.
-COUNTED = 20_000
-FREQUENT = 100_000
-
-
-def shingle_hashes(text: bytes, k: int) -> np.ndarray:
-    """XXH64 of each k-word shingle of the lower-cased text, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    if len(words) <= k:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    starts = np.concatenate(([0], ends[:-k])).tolist()
-    stops = (ends[k - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -68,21 +47,13 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 class Forest:
-    """Keeps, of links offered in any number, a forest with the fewest bits; its size is bounded by the nodes.
+    """Keeps, of links offered in any number, a forest with the fewest bits; its size is bounded by the nodes."""
 
-    Links of a node with ``sparse`` or fewer are kept as well, which bounds their number too.
-    ``accept``, if given, tells which of some links (a, b, bits) count.
-    """
-
-    def __init__(self, sparse: int = 0, accept: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None):
-        self.sparse, self.accept = sparse, accept
+    def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
     def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
-        if self.accept is not None and len(a):
-            good = self.accept(a, b, bits)
-            a, b, bits = a[good], b[good], bits[good]
         if len(a):
             self.parts.append((a, b, bits))
             self.n += len(a)
@@ -110,10 +81,6 @@ class Forest:
                 up[max(x, y)] = min(x, y)
                 kept.append(i)
         at = np.array(kept, np.int64)
-        if self.sparse:
-            ends, count = np.unique(np.concatenate((a, b)), return_counts=True)
-            fewer = np.minimum(count[np.searchsorted(ends, a)], count[np.searchsorted(ends, b)])
-            at = np.union1d(at, np.flatnonzero(fewer <= self.sparse))
         return a[at], b[at], bits[at]
 
 
@@ -135,7 +102,7 @@ def _walk(f: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, forest: Fo
         bit, l1, h1, l2, h2, diff = stack.pop()
         if not len(l1):
             continue
-        all_linked = (diff + bit + 1 <= budget) & (forest.accept is None)
+        all_linked = diff + bit + 1 <= budget
         if all_linked.any():
             for a, b, c, d, n in zip(*(x[all_linked].tolist() for x in (l1, h1, l2, h2, diff))):
                 chain = np.arange(a, b) if a == c else np.concatenate((np.arange(a, b), np.arange(c, d)))
@@ -204,60 +171,31 @@ def _compare(f, l1, h1, l2, h2, budget: int, forest: Forest, rows: np.ndarray) -
         start = stop
 
 
-def links(prints: DataFrame, budget: int, size_ratio: float | None = None, sparse: int = 0, both: int | None = None) -> DataFrame:
+def links(prints: DataFrame, budget: int, agree: int = 2, size_ratio: float | None = None) -> DataFrame:
     """a, b (structs of first and fp) and bits: for each trie a spanning forest of the pairs within ``budget`` bits.
 
-    With ``sparse`` all pairs come along that a node with so many or fewer has part in.
-    With ``both`` there is a second fingerprint, fp2, and a pair only counts if the
-    bits that differ in the two together are no more than that.
-
-    ``prints`` has first and fp, one row a node.  With ``size_ratio`` it also has
-    size, and only nodes whose sizes may be within that ratio are sure to meet.
+    ``prints`` has first and fp, one row a node.  Of budget + ``agree`` blocks two
+    nodes within the budget have ``agree`` in common.  With ``size_ratio`` there is also
+    size, and only nodes on the same step of a scale of that ratio meet.
     """
     p = partitions(prints.sparkSession)
-    blocks = min(budget + 1, BITS)
+    blocks = min(budget + agree, BITS)
     ends = [BITS * i // blocks for i in range(blocks + 1)]
-    keys = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("value")) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
-    rows = prints
-    if size_ratio is None:
-        rows = rows.withColumn("step", F.lit(0))
-    else:  # sizes within the ratio fall on the same step or the next, and every node stands on its own step and the next
-        step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1 / size_ratio)) + F.lit(1e-9)).cast("int")
-        rows = rows.withColumn("step", F.explode(F.array(step, step + 1)))
-    more = ["fp2"] if both is not None else []
-    rows = rows.select("first", "fp", *more, "step", F.explode(F.array(*keys)).alias("k")).select("k.i", "k.value", "step", "first", "fp", *more)
+    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:])]
+    masks = [sum(some) for some in combinations(block, blocks - budget)] if blocks > budget else [0]
+    keys = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("value")) for i, m in enumerate(masks)]
+    step = F.lit(0) if size_ratio is None else F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1 / size_ratio)) + F.lit(1e-9)).cast("int")
+    rows = prints.select("first", "fp", step.alias("step"), F.explode(F.array(*keys)).alias("k")).select("k.i", "k.value", "step", "first", "fp")
     rows = rows.repartition(p, "i", "value", "step").sortWithinPartitions("i", "value", "step")
     schema = pa.schema([("a_first", pa.int64()), ("a_fp", pa.int64()), ("b_first", pa.int64()), ("b_fp", pa.int64()), ("bits", pa.int32())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(parts: list[np.ndarray]) -> pa.RecordBatch:
-            x = np.concatenate(parts)
+        for x in whole_groups(batches, 3):
             group = np.cumsum(np.concatenate(([True], (x[1:, :3] != x[:-1, :3]).any(axis=1))))
-            accept = None
-            if both is not None:
-                second = np.ascontiguousarray(x[:, 5]).view(np.uint64)
-                accept = lambda a, b, bits: bits + np.bitwise_count(second[a] ^ second[b]) <= both
-            forest = Forest(sparse, accept)
+            forest = Forest()
             trie_links(np.ascontiguousarray(x[:, 4]).view(np.uint64), group, budget, forest, np.arange(len(x)))
             a, b, bits = forest.links()
-            return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in (x[a, 3], x[a, 4], x[b, 3], x[b, 4])), pa.array(bits.astype(np.int32))], schema=schema)
-
-        held: list[np.ndarray] = []
-        n = 0
-        for batch in batches:
-            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)], axis=1)
-            if not len(x):
-                continue
-            held.append(x)
-            n += len(x)
-            if n >= CHUNK:  # all groups but the last, which may go on
-                x = np.concatenate(held)
-                last = int(np.flatnonzero((x[:, :3] != x[-1, :3]).any(axis=1)).max(initial=-1)) + 1
-                if last:
-                    yield linked([x[:last]])
-                held, n = [x[last:]], len(x) - last
-        if n:
-            yield linked(held)
+            yield pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in (x[a, 3], x[a, 4], x[b, 3], x[b, 4])), pa.array(bits.astype(np.int32))], schema=schema)
 
     out = rows.mapInArrow(join, "a_first long, a_fp long, b_first long, b_fp long, bits int")
     node = lambda s: F.struct(F.col(f"{s}_first").alias("first"), F.col(f"{s}_fp").alias("fp")).alias(s)
@@ -269,8 +207,7 @@ def _prints(shingle: int):
         for batch in batches:
             hashes = [shingle_hashes(t, shingle) for t in as_bytes(batch.column("text"))]
             prints = np.fromiter((fingerprint(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)
-            sizes = [len(np.unique(h)) for h in hashes]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "size"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
 
     return run
 
@@ -283,7 +220,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str
     any other.  Repeated rows are returned each.  A null id gives way to any
     other; a component of null ids only has component_id null.
     """
-    rows = cut(id_and_text(docs, id_col, text_col).mapInArrow(_prints(shingle), "doc_id long, fp long, size long").drop("size"))
+    rows = cut(id_and_text(docs, id_col, text_col).mapInArrow(_prints(shingle), "doc_id long, fp long"))
     rows = rows.withColumn("part", part_of("doc_id"))
     known = F.coalesce("doc_id", F.lit(NO_ID))
     nodes = rows.groupBy("fp", "part").agg(F.min(known).alias("first")).groupBy("fp").agg(F.min("first").alias("first"), F.collect_set("part").alias("parts"))
@@ -293,214 +230,102 @@ def near_groups(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("component_id"), F.lit(NO_ID)).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 16, both: int = 30, sparse: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are linked with a smaller id, over any number of links.
 
     Two texts are linked if their shingle sets have a Jaccard similarity of
-    ``similarity`` or more.  Fingerprints of the sets, within ``budget`` bits and with
-    a second one within ``both``, propose links first, in forests that join large
-    groups cheaply; what they do not propose is left to ``_across``, which loses no
-    link between two of the groups found.  Proposals hold if the sets are similar enough.
+    ``similarity`` or more.  Fingerprints of the sets within ``budget`` bits propose links
+    first, in forests, which join large groups cheaply.  What they pass over is found by
+    ``overlap``, which loses no link between two of the groups: first by a pair of texts
+    for each two groups with a rare shingle in common, then by all pairs that may be
+    similar enough.  Proposals hold if the sets are.
     Texts of the same words are one node, whose smallest id stays.
-    Texts without words are alike.  Null ids go first.
+    Texts without words are alike.  Null ids go first.  There is one way for every size.
     """
     key = free_name(docs, "text_key")
     own = lambda c: F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
-    slim = id_and_text(docs, id_col, text_col)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            prints = np.fromiter((fingerprint(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)
-            second = np.fromiter((fingerprint(mixed(h)) for h in hashes), np.uint64, len(hashes)).view(np.int64)
-            same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 1) for t in texts), np.uint64, len(texts)).view(np.int64)
-            sizes = [len(h) for h in hashes]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("own"), pa.array(prints), pa.array(second), pa.array(same), pa.array(sizes, pa.int64())], names=["doc_id", "own", "fp", "fp2", "same", "size"])
-
-    rows = slim.withColumn("own", own(F.col("text"))).select("doc_id", "own", "text").mapInArrow(sketch, "doc_id long, own long, fp long, fp2 long, same long, size long")
-    rows = cut(rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("part", part_of("id")))
+    slim = id_and_text(docs, id_col, text_col).withColumn("own", own(F.col("text"))).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    sketched = cut(slim.select("id", "own", "text").mapInArrow(_sketch(shingle), "id long, own long, fp long, same long, size long, counted boolean"))
+    rows = sketched.where("not counted").drop("counted").withColumn("part", part_of("id"))
     # nodes: texts of the same words; named by their smallest row
-    named = rows.groupBy("same", "part").agg(F.min(F.struct("id", "own", "fp", "fp2", "size")).alias("m")).groupBy("same").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
-    nodes = cut(named.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("print"), F.col("m.fp2").alias("fp2"), F.col("m.size").alias("size")))
-    proposed = links(nodes.select(F.col("same").alias("first"), F.col("print").alias("fp"), "fp2", "size"), budget, similarity, sparse, both)
+    named = rows.groupBy("same", "part").agg(F.min(F.struct("id", "own", "fp", "size")).alias("m")).groupBy("same").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
+    nodes = cut(named.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("fp"), F.col("m.size").alias("size")))
+    proposed = links(nodes.select(F.col("same").alias("first"), "fp", "size"), budget, size_ratio=similarity)
     proposed = cut(proposed.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct())
-    holds = _similar(slim, nodes, proposed, shingle, similarity, own)
-    # back to names that sort by the smallest id
+    blocks = cut(blocks_of_two(slim, _frequent(sketched), shingle, similarity))
+    # the sets of all texts that have part in a proposal or a block, read once
+    wanted = proposed.select(F.col("a").alias("same")).union(proposed.select("b")).union(blocks.select("same")).distinct()
+    wanted = nodes.join(wanted, "same", "left_semi").select("same", F.col("first").alias("id"), "own")
+    sets = slim.select("id", "own", "text").join(wanted.hint("merge"), ["id", "own"]).select("same", "text").mapInArrow(_sets(shingle), "same long, shingles binary")
+    sets = cut(sets.groupBy("same").agg(F.first("shingles").alias("shingles")))  # repeated rows as one
     name = nodes.select("same", F.struct("first", "same").alias("node"))
 
-    def named_by_id(pairs: DataFrame) -> DataFrame:
-        ab = pairs.join(name.withColumnsRenamed({"same": "a", "node": "na"}), "a").join(name.withColumnsRenamed({"same": "b", "node": "nb"}), "b")
+    def holding(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are similar enough, by names that sort by the smallest id."""
+        ab = alike_pairs(pairs, sets, similarity)
+        ab = ab.join(name.withColumnsRenamed({"same": "a", "node": "na"}), "a").join(name.withColumnsRenamed({"same": "b", "node": "nb"}), "b")
         return ab.select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
-    label = cut(components(named_by_id(holds)))
-    top = _frequent(slim, shingle)
+    label = cut(components(holding(proposed)))
     tested = None
-    for one in (True, False):  # first a pair of two groups for each shingle, so that few groups are left to be held against each other
-        found = _across(slim, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), shingle, similarity, top, one)
+    for one in (True, False):
+        found = pairs_in_blocks(blocks, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), similarity, one)
         tested, found = found, found if tested is None else cut(found.join(tested, ["a", "b"], "left_anti"))
         if found.isEmpty():
             break
-        more = cut(named_by_id(_similar(slim, nodes, found, shingle, similarity, own)))
+        more = cut(holding(found))
         if not more.isEmpty():
             label = cut(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
     gone_nodes = label.where("node <> label").select(F.col("node.same").alias("same"))
     lost = rows.join(nodes.select("same", F.explode("parts").alias("part"), "first", F.col("own").alias("first_own")), ["same", "part"])
     lost = lost.join(gone_nodes.withColumn("whole", F.lit(True)), "same", "left")
-    lost = lost.where("whole or id <> first or own <> first_own").select(F.col("doc_id").alias("lost_id"), F.col("own").alias("lost_own")).distinct()
+    lost = lost.where("whole or id <> first or own <> first_own")
     lost_id, lost_own = free_name(docs, "lost_id"), free_name(docs, "lost_own")
-    lost = small(cut(lost.select(F.col("lost_id").alias(lost_id), F.col("lost_own").alias(lost_own))), LISTED)
+    lost = lost.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias(lost_id), F.col("own").alias(lost_own)).distinct()
     marked = docs.withColumn(key, own(F.col(text_col)))
-    return marked.join(lost, marked[id_col].cast("long").eqNullSafe(lost[lost_id]) & (marked[key] == lost[lost_own]), "left_anti").drop(key)
+    return marked.join(lost.hint("merge"), marked[id_col].cast("long").eqNullSafe(lost[lost_id]) & (marked[key] == lost[lost_own]), "left_anti").drop(key)
 
 
-def _frequent(slim: DataFrame, shingle: int) -> np.ndarray:
-    """The most frequent shingles of some of the texts, the most frequent first.  Only the order of prefixes rests on them."""
-    share = min(1.0, COUNTED / max(1, slim.count()))
+def _sketch(shingle: int):
+    """Fingerprint, name and size of each shingle set; at a task's end also its most frequent shingles (counted; id: the shingle, size: its number)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "own", "fp", "same", "size", "counted"]
+        counts = Counts()
         for batch in batches:
-            if batch.num_rows:
-                h, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in as_bytes(batch.column("text"))]), return_counts=True)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
-
-    some = slim.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else slim
-    top = some.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT)
-    return np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64)
-
+            texts = as_bytes(batch.column("text"))
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            counts.add(hashes)
+            prints = np.fromiter((fingerprint(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)
+            same = np.fromiter(map(words_id, texts), np.uint64, len(texts)).view(np.int64)
+            sizes = pa.array([len(h) for h in hashes], pa.int64())
+            yield pa.record_batch([batch.column("id"), batch.column("own"), pa.array(prints), pa.array(same), sizes, pa.array(np.zeros(len(texts), bool))], names=names)
+        value, n = counts.most()
+        zero = pa.array(np.zeros(len(value), np.int64))
+        yield pa.record_batch([pa.array(value.view(np.int64)), zero, zero, zero, pa.array(n), pa.array(np.ones(len(value), bool))], names=names)
 
-def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Of a set the rarest members, so many that a set as similar as ``similarity`` has one of its own rarest among them.
+    return run
 
-    The order, the same for all sets, is by ``rank`` of the hashes in ``known`` (sorted), which come after all others, then by hash.
-    """
-    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
-    place = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        place = np.where(known[at] == hashes, rank[at], 0)
-    return hashes[np.lexsort((hashes, place))[:n]]
-
-
-def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float, one: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of unlike label that share a token and may be as similar as ``similarity``, by their sizes and the token's places; some at a time.  With ``one`` a pair for each token and two labels."""
-    order = np.lexsort((same, size, token))
-    token, same, label, size, pos = (x[order] for x in (token, same, label, size, pos))
-    new = np.concatenate(([True], (token[1:] != token[:-1]) | (same[1:] != same[:-1])))  # repeated texts
-    token, same, label, size, pos = (x[new] for x in (token, same, label, size, pos))
-    group = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
-    wide = int(size.max()) + 2
-    most = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), wide - 1)
-    partners = np.searchsorted(group * wide + size, group * wide + most, "right") - np.arange(len(size)) - 1
-    at = np.flatnonzero(partners > 0)
-    upto = np.cumsum(partners[at])
-    start = 0
-    while start < len(at):
-        done = upto[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(upto, done + AT_ONCE, "right")))
-        i = np.repeat(at[start:stop], partners[at[start:stop]])
-        first = np.repeat(upto[start:stop] - partners[at[start:stop]] - done, partners[at[start:stop]])
-        j = i + 1 + np.arange(len(i)) - first
-        start = stop
-        good = label[i] != label[j]
-        i, j = i[good], j[good]
-        # the shared token that comes first in both: no other can be shared before it
-        good = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
-        i, j = i[good], j[good]
-        if one:
-            two = np.stack((group[i], np.minimum(label[i], label[j]), np.maximum(label[i], label[j])), axis=1)
-            _, kept = np.unique(two, axis=0, return_index=True)
-            i, j = i[kept], j[kept]
-        pairs = np.unique(np.stack((np.minimum(same[i], same[j]), np.maximum(same[i], same[j])), axis=1), axis=0)
-        yield pairs[:, 0], pairs[:, 1]
-
-
-def _across(slim: DataFrame, label: DataFrame, shingle: int, similarity: float, top: np.ndarray, one: bool) -> DataFrame:
-    """a, b: all pairs of unlike label that may be as similar as ``similarity``; a text not in ``label`` (same, label) is its own.
-
-    A prefix filter: sets of that similarity share a shingle within their prefixes, so
-    pairs come from blocks of one shingle, and none is lost.  With ``one`` there is
-    but a pair of two labels in a block.
-    """
-    p = partitions(slim.sparkSession)
-    order = np.argsort(top)
-    given = slim.sparkSession.sparkContext.broadcast((top[order], len(top) - order))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = given.value
-        seen: set[int] = set()
-        for batch in batches:
-            found: list[tuple[int, int, np.ndarray]] = []
-            for t in as_bytes(batch.column("text")):
-                same = xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 1)
-                if same not in seen and len(h := np.unique(shingle_hashes(t, shingle))):
-                    found.append((same, len(h), prefix(h, similarity, known, rank)))
-                    seen.add(same)
-            if len(seen) > LINKS:
-                seen.clear()
-            if found:
-                n = [len(h) for _, _, h in found]
-                columns = (
-                    np.concatenate([h for _, _, h in found]).view(np.int64), np.repeat(np.array([s for s, _, _ in found], np.uint64).view(np.int64), n),
-                    np.repeat(np.array([s for _, s, _ in found], np.int32), n), np.concatenate([np.arange(x, dtype=np.int32) for x in n]),
-                )
-                yield pa.record_batch([pa.array(x) for x in columns], names=["token", "same", "size", "pos"])
-
-    rows = slim.select("text").mapInArrow(prefixes, "token long, same long, size int, pos int").join(small(cut(label), LISTED), "same", "left")
-    rows = rows.select("token", "same", F.coalesce("label", "same").alias("label"), "size", "pos").repartition(p, "token").sortWithinPartitions("token")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(parts: list[list[np.ndarray]], upto: int | None = None) -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x)[:upto].astype(np.int64) for x in zip(*parts)]
-            for a, b in block_pairs(*columns, similarity, one) if len(columns[0]) else ():
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        held: list[list[np.ndarray]] = []
-        n = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= CHUNK:  # all blocks but the last, which may go on
-                token = np.concatenate([x[0] for x in held])
-                last = int(np.searchsorted(token, token[-1]))
-                if last:
-                    yield from of(held, last)
-                    held = [[np.concatenate(x)[last:] for x in zip(*held)]]
-                    n -= last
-        if n:
-            yield from of(held)
-
-    return cut(rows.mapInArrow(pairs, "a long, b long").distinct())
-
-
-def _similar(slim: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle: int, similarity: float, own) -> DataFrame:
-    """Those of the proposed links (a, b) whose shingle sets are similar enough; only texts with a link are read."""
-    wanted = proposed.select(F.col("a").alias("same")).union(proposed.select("b")).distinct()
-    wanted = small(cut(nodes.join(wanted, "same", "left_semi").select("same", F.col("first").alias("w_id"), F.col("own").alias("w_own"))), LISTED)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in as_bytes(batch.column("text"))]
             yield pa.record_batch([batch.column("same"), pa.array(found, pa.binary())], names=["same", "shingles"])
 
-    texts = slim.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("own", own(F.col("text")))
-    texts = texts.join(wanted, (F.col("id") == F.col("w_id")) & (F.col("own") == F.col("w_own")))
-    texts = texts.select("same", "text").mapInArrow(sets, "same long, shingles binary")
-    texts = texts.withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy("shingles"))).where("n = 1").drop("n")  # repeated rows
+    return run
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            good = []
-            for u, v in zip(x, y):
-                u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(both >= similarity * (len(u) + len(v) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    left = proposed.join(texts.withColumnsRenamed({"same": "a", "shingles": "x"}), "a")
-    both = left.join(texts.withColumnsRenamed({"same": "b", "shingles": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+def _frequent(sketched: DataFrame) -> np.ndarray:
+    """The most frequent shingles of all texts, at most FREQUENT, the most frequent first.  Only the order of prefixes rests on them."""
+    counts = sketched.where("counted").groupBy(F.col("id").alias("h")).agg(F.sum("size").alias("n")).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
+    counts = cut(counts)
+    least, n = 10**6, 0
+    for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):  # a few hundred levels
+        n += r.m
+        if n > FREQUENT:
+            break
+        least = r.level
+    top = counts.where(F.col("level") >= least).select("h", "n").toArrow()
+    h, n = (top.column(c).combine_chunks().to_numpy() for c in ("h", "n"))
+    return h[np.lexsort((h, -n))].view(np.uint64)

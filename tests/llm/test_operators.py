@@ -10,8 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerloom.llm import debruijn, decontaminate, exact_dedup, html_extract, mixing, quality, simhash, suffix_index, token_counts, tool_calls
-from ledgerloom.llm.anchors import mixed
+from ledgerloom.llm import debruijn, decontaminate, exact_dedup, html_extract, mixing, overlap, quality, simhash, suffix_index, token_counts, tool_calls
 from ledgerloom.llm.components import components
 
 #: Columns whose names an operator uses for itself.
@@ -221,9 +220,6 @@ def test_drop_near_copies(docs, empty):
     assert left.columns == docs.columns
     rows = [(10**9 if i is None else i, t) for i, t in texts()]
     sets = [shingles(t) for _, t in rows]
-    hashes = [simhash.shingle_hashes((t or "").encode(), 5) for _, t in rows]
-    prints, second = [simhash.fingerprint(h) for h in hashes], [simhash.fingerprint(mixed(h)) for h in hashes]
-    bits = lambda x, a, b: (x[a] ^ x[b]).bit_count()
     same = [b" ".join((t or "").encode().lower().split()) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -300,15 +296,44 @@ def test_prefix_pairs_lose_no_similar_pair():
         sets = [np.unique(rng.choice(base, rng.integers(1, 60))) for _ in range(60)]
         sets += [np.unique(np.concatenate((x[: rng.integers(0, 3)], x[rng.integers(0, 4) :]))) for x in sets]
         known = np.sort(base[:20])
-        cut = [simhash.prefix(x, 0.8, known, np.arange(1, 21)) for x in sets]
+        cut = [overlap.prefix(x, 0.8, known, np.arange(1, 21)) for x in sets]
         n = [len(x) for x in cut]
         same = np.repeat(np.arange(len(sets)), n)
-        rows = (np.concatenate(cut).view(np.int64), same, same, np.repeat([len(x) for x in sets], n), np.concatenate([np.arange(x) for x in n]))
-        got = {(a, b) for x, y in simhash.block_pairs(*rows, 0.8) for a, b in zip(x.tolist(), y.tolist())}
+        label = same // 3 if _ % 2 else same
+        rows = (np.concatenate(cut).view(np.int64), same, label, np.repeat([len(x) for x in sets], n), np.concatenate([np.arange(x) for x in n]))
+        got = {(a, b) for x, y in overlap.block_pairs(*rows, 0.8) for a, b in zip(x.tolist(), y.tolist())}
         for b in range(len(sets)):
             for a in range(b):
                 both = len(np.intersect1d(sets[a], sets[b]))
-                assert both == 0 or both < 0.8 * (len(sets[a]) + len(sets[b]) - both) or (a, b) in got
+                assert _ % 2 and a // 3 == b // 3 or both == 0 or both < 0.8 * (len(sets[a]) + len(sets[b]) - both) or (a, b) in got
+
+
+def test_drop_near_copies_in_groups_of_many_differing_copies(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows = []
+    for g in range(6):
+        base = [word() for _ in range(rng.randint(60, 240))]
+        for i in range(120):  # copies of copies, each a little off
+            w = list(base)
+            for _ in range(max(1, len(w) * rng.choice((1, 2, 3)) // 100)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((1000 * g + i, " ".join(w)))
+            if rng.random() < 0.2:
+                base = w
+    want = left_by_force(rows)
+    assert len(want) < 200
+    assert {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_counts_name_the_most_frequent(monkeypatch):
+    monkeypatch.setattr(overlap, "KNOWN", 2000)
+    rng = np.random.default_rng(1)
+    counts = overlap.Counts()
+    for _ in range(300):
+        counts.add([np.unique(np.concatenate((np.arange(20, dtype=np.uint64), rng.integers(100, 2**60, 50).astype(np.uint64))))])
+    value, n = counts.most()
+    assert sorted(value.tolist()) == list(range(20)) and set(n.tolist()) == {300}
 
 
 def test_components(spark):

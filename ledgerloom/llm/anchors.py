@@ -43,6 +43,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_BYTE2 = mixed(np.arange(257, 513, dtype=np.uint64) * _ODD2)
 
 
 def rolling(t: np.ndarray, k: int, odd: np.uint64 = _ODD) -> np.ndarray:
@@ -162,11 +163,11 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[::2], turn[1::2]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     """A hash of each word, from sums over all the text before its start and end."""
     up, down = _upto(max(len(raw), CHUNK * 2))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD2)
 
 
@@ -178,6 +179,18 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
     return word_hashes(raw, starts, ends), np.searchsorted(starts, offset).astype(np.int64), (raw, starts, ends)
 
 
+def span_prints(tokens: np.ndarray, words: tuple, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the words start..stop of each span: of ``word_hashes`` and of others by another table."""
+    raw, begins, ends = words
+    out = []
+    for hashes, odd in ((tokens, _ODD), (word_hashes(raw, begins, ends, _BYTE2), _ODD2)):
+        up, down = _upto(max(len(hashes) + 1, CHUNK * 2))
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mixed(hashes ^ odd) * up[: len(hashes)], out=sums[1:])
+        out.append(mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * odd))
+    return out[0], out[1]
+
+
 def even_keys(spark: SparkSession, p: int, n: int) -> list[int]:
     """n numbers of which the i-th is dealt to partition i modulo p by hash, so that all get equally many."""
     want = -(-n // p)

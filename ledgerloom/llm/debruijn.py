@@ -6,9 +6,10 @@ dealt to shards.  A shard counts each edge and knows its neighbours; repeated
 edges in a row that are never entered or left elsewhere become one segment.
 Joins of the segments with each other, in which every segment leaps to where its
 predecessor points, then compact whole nonbranching paths.  Batches of documents
-get the segments back with their place on a path; each is looked up at its source
-coordinates, and where the words there are indeed those of the edge the whole
-span is removed.
+learn which segments they have where, and from the compacted graph the path, the
+place on it and the length of each: that gives the spans at their source
+coordinates.  The words of every span are read there again, and 128 further bits
+made of them; only spans whose words are met a second time so are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, among, chunks, dealt, mixed, places_of, ranges, read, rolling, runs, shared_anchors, word_tokens
+from .anchors import NO_ID, among, chunks, dealt, mixed, places_of, ranges, read, rolling, runs, shared_anchors, span_prints, word_tokens
 from .common import cut
 
 #: In place of a neighbouring edge: the document ends there; there are several.
@@ -145,7 +146,7 @@ def _segments(docs: DataFrame, window: int, k: int, id_col: str, text_col: str):
         batch = t.column("batch").combine_chunks().to_numpy()
         zero = pa.array(np.zeros(len(take), np.int64))
         where = pa.table(
-            [pa.array(batch[of[times_of]].astype(np.int32)), signed(content[times_of]), pa.array((head[take] - window_at[owner[head[take]]]).astype(np.int32)), pa.array(size[take].astype(np.int32)), signed(edge[head[take]]), zero, zero, zero, zero],
+            [pa.array(batch[of[times_of]].astype(np.int32)), signed(content[times_of]), pa.array((head[take] - window_at[owner[head[take]]]).astype(np.int32)), zero.cast(pa.int32()), signed(edge[head[take]]), zero, zero, zero, zero],
             names=_NAMES,
         )
         return pa.concat_tables([graph, where])
@@ -158,11 +159,10 @@ _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
 
 def compacted(segments: DataFrame) -> DataFrame:
-    """head, path and place: the nonbranching path that each segment is on, and how many edges stand before it there.
+    """head, n, count, path and place: the nonbranching path that each segment is on, and how many edges stand before it there.
 
     Every round doubles how far a segment sees back.  A path is named by its first
-    edge; one that closes on itself, by its least.  Segments on no longer path
-    than themselves are left out.
+    edge; one that closes on itself, by its least.
     """
     s = segments.select("head", "tail", "n", "count", "pred", "succ")
     before = s.select(F.col("succ").alias("head"), F.col("tail").alias("pred"), "count", F.col("head").alias("up"), F.col("n").cast("long").alias("dist"))
@@ -178,15 +178,44 @@ def compacted(segments: DataFrame) -> DataFrame:
         linked = cut(moved.select("head", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.least("low", F.coalesce("low2", "low")).alias("low")))
         rounds += 1
     circle = F.col("up2").isNotNull()
-    return moved.select("head", F.when(circle, F.col("low")).otherwise(F.col("up")).alias("path"), F.when(circle, F.lit(0)).otherwise(F.col("dist")).alias("place"))
+    moved = moved.select("head", F.when(circle, F.col("low")).otherwise(F.col("up")).alias("path"), F.when(circle, F.lit(0)).otherwise(F.col("dist")).alias("place"))
+    out = s.select("head", "n", "count").join(moved, "head", "left")
+    return out.select("head", "n", "count", F.coalesce("path", "head").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
 
 
 def repeated_paths(docs: DataFrame, window: int = 35, k: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The compacted graph: path, its number of edges (k-mers of ``window`` words), and how often its edges occur."""
     _, found = _segments(docs, window, k, id_col, text_col)
-    segments = found.where("batch = -1")
-    out = segments.join(compacted(segments), "head", "left").withColumn("path", F.coalesce("path", "head"))
-    return out.groupBy("path").agg(F.sum("n").alias("n_edges"), F.max("count").alias("times"))
+    return compacted(found.where("batch = -1")).groupBy("path").agg(F.sum("n").alias("n_edges"), F.max("count").alias("times"))
+
+
+class _Spans:
+    """Where the segments that a batch has been told of stand in some of its texts, and the prints of their words."""
+
+    def __init__(self, told: pa.Table, window: int, k: int):
+        columns = {c: told.column(c).combine_chunks().to_numpy().copy() for c in told.column_names if c != "batch"}
+        columns["content"] = columns["content"].view(np.uint64)
+        order = np.lexsort((columns["offset"], columns["content"]))
+        self.told = {c: x[order] for c, x in columns.items()}
+        content = self.told["content"]
+        self.first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1]))) if len(content) else np.empty(0, np.int64)
+        self.per = np.diff(np.append(self.first, len(content)))
+        self.known = content[self.first]
+        self.window, self.k = window, k
+
+    def find(self, toks: np.ndarray, bounds: np.ndarray, words: tuple) -> tuple[np.ndarray, ...]:
+        """Of each place: first and last word but one, document, row of ``told``, and two numbers made of the words."""
+        r = runs(toks, bounds, self.k, self.window)
+        hit, at = among(r.content, self.known)
+        hit = np.flatnonzero(hit)
+        at = at[hit]
+        take = ranges(self.first[at], self.per[at])
+        run = np.repeat(hit, self.per[at])
+        start = r.start[run] + self.told["offset"][take]
+        stop = start + self.told["n"][take] + self.window - 1
+        fits = stop <= bounds[r.doc[run] + 1]
+        start, stop, run, take = start[fits], stop[fits], run[fits], take[fits]
+        return start, stop, r.doc[run], take, *span_prints(toks, words, start, stop)
 
 
 def remove_passages(docs: DataFrame, window: int = 35, k: int = 16, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -199,54 +228,57 @@ def remove_passages(docs: DataFrame, window: int = 35, k: int = 16, id_col: str
     words.  Repeated rows are copies of one another.
     """
     rows, found = _segments(docs, window, k, id_col, text_col)
-    paths = compacted(found.where("batch = -1"))
-    told = found.where("batch >= 0").select("batch", "content", "offset", "n", "head").join(paths, "head", "left")
-    told = told.select("batch", "content", "offset", "n", "head", F.coalesce("path", "head").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+    graph = compacted(found.where("batch = -1")).select("head", F.col("n").cast("long").alias("n"), "path", "place")
+    told = found.where("batch >= 0").select("batch", "content", "offset", "head").join(graph, "head").select("batch", "content", "offset", "head", "n", "path", "place")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64()), ("n_paths", pa.int64()), *([("kept", pa.string())] if keep_text else [])])
+    seen_schema = pa.schema([(c, pa.int64()) for c in ("head", "p1", "p2", "times")])
+
+    def seen(t: pa.Table, told: pa.Table) -> pa.Table:
+        """What words the segments have in this batch, and how often."""
+        if not t.num_rows or not told.num_rows:
+            return seen_schema.empty_table()
+        _, texts = read(t)
+        spans, got = _Spans(told, window, k), []
+        for a, b in chunks(texts):
+            toks, bounds, words = word_tokens(texts[a:b])
+            _, _, _, take, p1, p2 = spans.find(toks, bounds, words)
+            got.append(np.stack((spans.told["head"][take], p1.view(np.int64), p2.view(np.int64)), axis=1))
+        x, times = np.unique(np.concatenate(got), axis=0, return_counts=True)
+        return pa.table([*(pa.array(np.ascontiguousarray(c)) for c in x.T), pa.array(times.astype(np.int64))], schema=seen_schema)
 
     def cleaned(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
             return schema.empty_table()
         ids, texts = read(t)
-        content, offset, size, head, path, place = (told.column(c).combine_chunks().to_numpy().copy() for c in ("content", "offset", "n", "head", "path", "place"))
-        content, head = content.view(np.uint64), head.view(np.uint64)
-        order = np.lexsort((offset, content))
-        content, offset, size, head, path, place = (x[order] for x in (content, offset, size, head, path, place))
-        first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1]))) if len(content) else np.empty(0, np.int64)
-        per = np.diff(np.append(first, len(content)))
-        known = content[first]
+        spans = _Spans(told, window, k)
         out: list[tuple] = []
         for a, b in chunks(texts):
-            toks, bounds, _ = word_tokens(texts[a:b])
+            toks, bounds, words = word_tokens(texts[a:b])
             gone = np.zeros(len(toks) + 1, np.int64)
             lies = np.zeros(b - a, np.int64)
-            if len(known):
-                r = runs(toks, bounds, k, window)
-                hit, at = among(r.content, known)
-                hit = np.flatnonzero(hit)
-                at = at[hit]
-                take = ranges(first[at], per[at])
-                run = np.repeat(hit, per[at])
-                start = r.start[run] + offset[take]
-                edge = _edges(toks, window)
-                good = (edge[start] == head[take]) if len(take) else np.zeros(0, bool)  # the words at the source are those of the edge
-                start, take, doc = start[good], take[good], r.doc[run][good]
+            if len(spans.known):
+                start, stop, doc, take, p1, p2 = spans.find(toks, bounds, words)
+                good = (p1.view(np.int64) == spans.told["p1"][take]) & (p2.view(np.int64) == spans.told["p2"][take])
+                start, stop, doc, path = start[good], stop[good], doc[good], spans.told["path"][take][good]
                 np.add.at(gone, start, 1)
-                np.add.at(gone, start + size[take] + window - 1, -1)
-                pairs = np.unique(np.stack((doc, path[take]), 1), axis=0) if len(doc) else np.empty((0, 2), np.int64)
+                np.add.at(gone, stop, -1)
+                pairs = np.unique(np.stack((doc, path), 1), axis=0) if len(doc) else np.empty((0, 2), np.int64)
                 lies = np.bincount(pairs[:, 0], minlength=b - a)
             gone = np.cumsum(gone[:-1]) > 0
             for i in range(a, b):
                 x, y = int(bounds[i - a]), int(bounds[i - a + 1])
                 mask = gone[x:y]
-                words = texts[i].split()
+                words_left = texts[i].split()
                 n = int(mask.sum())
                 if n:
-                    words = [w for w, m in zip(words, mask.tolist()) if not m]
-                left = b" ".join(words)
-                spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
-                out.append((None if ids[i] == NO_ID else int(ids[i]), y - x, n, hashlib.sha256(left).hexdigest(), spans, int(lies[i - a]), *([left.decode("utf-8", "replace")] if keep_text else [])))
+                    words_left = [w for w, m in zip(words_left, mask.tolist()) if not m]
+                left = b" ".join(words_left)
+                runs_gone = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
+                out.append((None if ids[i] == NO_ID else int(ids[i]), y - x, n, hashlib.sha256(left).hexdigest(), runs_gone, int(lies[i - a]), *([left.decode("utf-8", "replace")] if keep_text else [])))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
+    by_words = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(seen, "head long, p1 long, p2 long, times long")
+    twice = by_words.groupBy("head", "p1", "p2").agg(F.sum("times").alias("times")).where("times > 1").drop("times")
+    told = told.join(twice, "head")
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, n_paths long" + (", kept string" if keep_text else "")
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cleaned, columns)

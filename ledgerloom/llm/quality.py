@@ -1,7 +1,8 @@
 """Quality scores from Naive Bayes features in a linear support-vector model.
 
 A text is turned into indicators of n-grams of word shapes (one, two or three
-words).  Each indicator is scaled by the log of the ratio between the share of
+words; a word of over ``PIECE`` characters, as in text without spaces, counts as
+several, so the whole text has its say).  Each indicator is scaled by the log of the ratio between the share of
 good and of bad texts that have it; a hinge-loss model is fitted to the scaled
 rows by dual coordinate descent, and its margins are turned into probabilities
 by a logistic fit on margins of held-back folds.
@@ -30,22 +31,32 @@ BUCKETS = 1 << 18
 #: An n-gram has one indicator for being there and one for each share of the text that it reaches.
 SHARES = (0.02, 0.1, 0.3, 0.6)
 MEMO = 200_000
+#: Characters of a word that make one shape.
+PIECE = 64
 
 
 def _shape(word: str) -> str:
-    """Letters by case, digits as 0, other characters as they are, runs as one; at most a few signs."""
+    """Letters by case, digits as 0, other characters as they are, runs as one."""
     out = []
-    for ch in word[:64]:
+    for ch in word:
         c = ("A" if ch.isupper() else "a") if ch.isalpha() else "0" if ch.isdigit() else ch
         if not out or out[-1] != c:
             out.append(c)
-    return "".join(out[:6])
+    return "".join(out)
+
+
+def _words(text: str) -> list[str]:
+    """The words of ``text``, long ones in pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 def features(text: str | None, memo: dict[str, str] | None = None) -> np.ndarray:
     """The sorted numbers of the indicators that hold for ``text``; an empty text has its own."""
     memo = {} if memo is None else memo
-    words = (text or "").split()
+    words = _words(text or "")
     shapes = []
     last = None
     for w in words:

@@ -138,6 +138,23 @@ def test_debruijn_dedup(docs, empty, window, k):
     assert debruijn.remove_passages(empty, window, k).count() == 0
 
 
+def test_spans_come_from_the_compacted_graph(spark, docs, monkeypatch):
+    rows = spark.createDataFrame([(i, "um dois três quatro cinco seis sete oito " * 12 + f"fim {i}") for i in range(4)], "doc_id long, text string")
+    assert {r.n_removed > 0 for r in debruijn.remove_passages(rows).collect()} == {True}
+    whole = debruijn.compacted
+    monkeypatch.setattr(debruijn, "compacted", lambda segments: whole(segments).where("false"))
+    assert {r.n_removed for r in debruijn.remove_passages(rows).collect()} == {0}
+
+
+def test_spans_of_other_words_are_not_removed(spark, monkeypatch):
+    """With edges that all collide, the words at the source decide."""
+    monkeypatch.setattr(debruijn, "_edges", lambda tokens, window: np.full(max(0, len(tokens) - window + 1), 7, np.uint64))
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, "gleich " * 40), (2, words("a")), (3, words("b"))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in debruijn.remove_passages(rows).collect()}
+    assert got[2] == got[3] == 0
+
+
 def test_paths_are_compacted(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(0, " ".join(words[:300])), (1, "a b c " + " ".join(words[50:250])), (2, "p q " + " ".join(words[300:]))]
@@ -464,6 +481,14 @@ def test_quality_awkward_rows(docs, empty, spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_features_see_the_whole_text():
+    base = quality.features("x" * 64)
+    for tail in ("y0" * 6000, "#" * 200, "A" * 64 + "b"):
+        assert set(quality.features("x" * 64 + tail).tolist()) != set(base.tolist())
+    long = "wörter " * 50 + "1a" * 100_000
+    assert set(quality.features(long).tolist()) != set(quality.features(long + "!?" * 50_000).tolist())
+
+
 def test_dual_descent_meets_the_conditions_of_the_optimum():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(0, 40, 8)) for _ in range(60)]

@@ -31,6 +31,7 @@ CHUNK = 1 << 18
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _ODD2 = _U(0xC2B2AE3D27D4EB4F)
+_ODD3 = _U(0x165667B19E3779F9)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -82,17 +83,18 @@ class Runs:
     n: np.ndarray
     anchor: np.ndarray
     doc: np.ndarray
-    #: Hash of the run's whole content.
+    #: Hash of the run's whole content, and another.
     content: np.ndarray
+    content2: np.ndarray
 
 
-def runs(t: np.ndarray, bounds: np.ndarray, k: int, window: int) -> Runs:
-    """bounds: where each document starts, and the end.  No window crosses one."""
+def runs(t: np.ndarray, bounds: np.ndarray, k: int, window: int, both: bool = False) -> Runs:
+    """bounds: where each document starts, and the end.  No window crosses one.  content2 is made only with ``both``."""
     none = np.empty(0, np.int64)
     length = np.diff(bounds)
     has = np.flatnonzero(length >= window)
     if not len(has):
-        return Runs(none, none, none.view(np.uint64), none, none.view(np.uint64))
+        return Runs(none, none, none.view(np.uint64), none, none.view(np.uint64), none.view(np.uint64))
     step = np.zeros(len(t) + 1, np.int8)
     step[bounds[has]] += 1
     step[bounds[has] + length[has] - window + 1] -= 1
@@ -107,9 +109,11 @@ def runs(t: np.ndarray, bounds: np.ndarray, k: int, window: int) -> Runs:
     inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     start = np.repeat(at[first], parts) + inside * most
     n = np.minimum(most, np.repeat(n, parts) - inside * most)
-    whole = rolling(t, window, _ODD2)
-    content = mixed(mixed(whole[start] + n.astype(np.uint64)) ^ (whole[start + n - 1] * _ODD))
-    return Runs(start, n, mixed(np.repeat(least[first], parts)), np.searchsorted(bounds, start, "right") - 1, content)
+    hashes = []
+    for odd in (_ODD2, _ODD3) if both else (_ODD2,):
+        whole = rolling(t if odd == _ODD2 else mixed(t), window, odd)
+        hashes.append(mixed(mixed(whole[start] + n.astype(np.uint64)) ^ (whole[start + n - 1] * _ODD)))
+    return Runs(start, n, mixed(np.repeat(least[first], parts)), np.searchsorted(bounds, start, "right") - 1, hashes[0], hashes[-1])
 
 
 def repeats_itself(t: np.ndarray, r: Runs, k: int, window: int) -> np.ndarray:
@@ -316,6 +320,15 @@ def among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return known[at] == values, at
 
 
+def among_two(values: np.ndarray, values2: np.ndarray, known: np.ndarray, known2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of values are among the known pairs, sorted by both, and where."""
+    hit, at = among(values, known)
+    while (other := hit & (known2[at] != values2)).any() if len(known) else False:
+        at = np.where(other, np.minimum(at + 1, len(known) - 1), at)
+        hit = hit & ~(other & ((known[at] != values) | ((known2[at] != values2) & (at == len(known) - 1))))
+    return hit, at
+
+
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] of them, and so on."""
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import NO_ID, among, byte_tokens, chunks, dealt, places_of, ranges, read, runs, shared_anchors
+from .anchors import NO_ID, among, among_two, byte_tokens, chunks, dealt, places_of, ranges, read, runs, shared_anchors
 
 #: Suffixes of a new batch.
 BATCH = 1 << 17
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
     shard_keys = np.array(plan.shards, np.int32)
 
     def pieces(t: pa.Table, known: pa.Table) -> pa.Table:
-        """For each shard the different pieces of the batch that may be elsewhere: content hash, least and largest id, windows, bytes."""
+        """For each shard the different pieces of the batch that may be elsewhere: 128 bits of their content, least and largest id, windows, bytes."""
         if not t.num_rows:
             return pieces_schema.empty_table()
         places = places_of(known)
@@ -94,22 +94,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
         whole, base = [], 0
         for a, b in chunks(texts) if len(places) else ():
             toks, bounds, raw = byte_tokens(texts[a:b])
-            r = runs(toks, bounds, k, length)
+            r = runs(toks, bounds, k, length, both=True)
             hit, _ = among(plan.place(r.anchor), places)
             if hit.any():
-                got.append([r.content[hit], plan.place(r.anchor[hit]) >> np.uint64(32), ids[a + r.doc[hit]], base + r.start[hit], r.n[hit]])
+                got.append([r.content[hit], r.content2[hit], plan.place(r.anchor[hit]) >> np.uint64(32), ids[a + r.doc[hit]], base + r.start[hit], r.n[hit]])
                 whole.append(raw)
                 base += len(raw)
         if not got:
             return pieces_schema.empty_table()
-        content, shard, whose, start, n = (np.concatenate(x) for x in zip(*got))
+        content, content2, shard, whose, start, n = (np.concatenate(x) for x in zip(*got))
         raw = np.concatenate(whole)
-        order = np.lexsort((whose, content, shard))
-        content, shard, whose = content[order], shard[order], whose[order]
-        first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1])))
+        order = np.lexsort((whose, content2, content, shard))
+        content, content2, shard, whose = content[order], content2[order], shard[order], whose[order]
+        first = np.flatnonzero(np.concatenate(([True], (content[1:] != content[:-1]) | (content2[1:] != content2[:-1]))))
         last = np.append(first[1:], len(content)) - 1
         least, most = whose[first], whose[last]
-        content, shard, start, n = content[first], shard[first], start[order[first]], n[order[first]]
+        content, content2, shard, start, n = content[first], content2[first], shard[first], start[order[first]], n[order[first]]
         edge = np.searchsorted(shard, np.arange(len(shard_keys) + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(edge))
         cut = [slice(edge[i], edge[i + 1]) for i in some]
@@ -117,23 +117,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
             [
                 pa.array(shard_keys[some]),
                 pa.array([t.column("batch")[0].as_py()] * len(some), pa.int32()),
-                *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (content, least, most - least, n.astype(np.uint8))),
+                *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (content, content2, least, most - least, n.astype(np.uint8))),
                 pa.array([packed(raw[ranges(start[c], n[c] + length - 1)]) for c in cut], pa.binary()),
             ],
             schema=pieces_schema,
         )
 
     def matches(t: pa.Table) -> pa.Table:
-        """For each batch what its pieces learn: content hash, number of parts; of each part its first window and the least id that has it."""
+        """For each batch what its pieces learn: 128 bits of the content, number of parts; of each part its first window and the least id that has it."""
         column = lambda name, kind: [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
-        content, least, most, n = column("content", np.uint64), column("least", np.int64), column("most", np.int64), column("n", np.uint8)
+        content, content2, least, most, n = column("content", np.uint64), column("content2", np.uint64), column("least", np.int64), column("most", np.int64), column("n", np.uint8)
         of = np.repeat(np.arange(len(content)), [len(x) for x in content])
-        content, least, most, n = np.concatenate(content), np.concatenate(least), np.concatenate(most), np.concatenate(n).astype(np.int64)
+        content, content2, least, most, n = np.concatenate(content), np.concatenate(content2), np.concatenate(least), np.concatenate(most), np.concatenate(n).astype(np.int64)
         most = least + most  # most pieces are in one document of their batch, so the difference packs well
         text = np.frombuffer(b"".join(map(unpacked, t.column("bytes").to_pylist())), np.uint8)
         begin = np.cumsum(n + length - 1) - (n + length - 1)
-        order = np.lexsort((least, content))
-        first = np.concatenate(([True], content[order][1:] != content[order][:-1]))
+        order = np.lexsort((least, content2, content))
+        first = np.concatenate(([True], (content[order][1:] != content[order][:-1]) | (content2[order][1:] != content2[order][:-1])))
         one = order[first]  # of equal pieces the one with the least id is indexed
         piece = np.empty(len(content), np.int64)
         piece[order] = np.cumsum(first) - 1
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
             mine = told[edges[i] : edges[i + 1]]
             if len(mine):
                 take = ranges(part_begin[piece[mine]], parts[piece[mine]])
-                out.append((int(batch[i]), content[mine].tobytes(), parts[piece[mine]].astype(np.uint8).tobytes(), offset[take].tobytes(), value[take].tobytes()))
+                out.append((int(batch[i]), content[mine].tobytes(), content2[mine].tobytes(), parts[piece[mine]].astype(np.uint8).tobytes(), offset[take].tobytes(), value[take].tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), told_schema)], schema=told_schema) if out else told_schema.empty_table()
 
     def cleaned(t: pa.Table, told: pa.Table) -> pa.Table:
@@ -169,17 +169,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
             return out_schema.empty_table()
         ids, texts = read(t)
         column = lambda name, kind: np.frombuffer(b"".join(told.column(name).to_pylist()), kind)
-        content, parts, offset, value = column("content", np.uint64), column("parts", np.uint8).astype(np.int64), column("offset", np.uint8).astype(np.int64), column("value", np.int64)
+        content, content2, parts, offset, value = column("content", np.uint64), column("content2", np.uint64), column("parts", np.uint8).astype(np.int64), column("offset", np.uint8).astype(np.int64), column("value", np.int64)
         begin = np.cumsum(parts) - parts
-        order = np.argsort(content)
-        content, parts, begin = content[order], parts[order], begin[order]
+        order = np.lexsort((content2, content))
+        content, content2, parts, begin = content[order], content2[order], parts[order], begin[order]
         sha, removed, spans, kept = [], [], [], []
         for a, b in chunks(texts):
             toks, bounds, raw = byte_tokens(texts[a:b])
             gone = np.zeros(len(raw) + 1, np.int64)
             if len(content):
-                r = runs(toks, bounds, k, length)
-                hit, at = among(r.content, content)
+                r = runs(toks, bounds, k, length, both=True)
+                hit, at = among_two(r.content, r.content2, content, content2)
                 hit = np.flatnonzero(hit)
                 at = at[hit]
                 take = ranges(begin[at], parts[at])
@@ -204,10 +204,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
         columns = [pa.array(ids, mask=ids == NO_ID), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)]
         return pa.table([*columns, *([pa.array(kept, pa.binary())] if keep_bytes else [])], schema=out_schema)
 
-    pieces_schema = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), *((c, pa.binary()) for c in ("content", "least", "most", "n", "bytes"))])
-    told_schema = pa.schema([("batch", pa.int32()), *((c, pa.binary()) for c in ("content", "parts", "offset", "value"))])
+    pieces_schema = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), *((c, pa.binary()) for c in ("content", "content2", "least", "most", "n", "bytes"))])
+    told_schema = pa.schema([("batch", pa.int32()), *((c, pa.binary()) for c in ("content", "content2", "parts", "offset", "value"))])
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if keep_bytes else [])])
-    found = rows.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(pieces, "shard int, batch int, content binary, least binary, most binary, n binary, bytes binary")
-    told = found.repartition(plan.p, "shard").groupBy("shard").applyInArrow(matches, "batch int, content binary, parts binary, offset binary, value binary")
+    found = rows.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(pieces, "shard int, batch int, content binary, content2 binary, least binary, most binary, n binary, bytes binary")
+    told = found.repartition(plan.p, "shard").groupBy("shard").applyInArrow(matches, "batch int, content binary, content2 binary, parts binary, offset binary, value binary")
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cleaned, columns)

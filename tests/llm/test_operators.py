@@ -103,6 +103,38 @@ def test_suffix_dedup_keeps_bytes(docs):
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
 
 
+def test_among_two_tells_equal_first_halves_apart():
+    from ledgerloom.llm.anchors import among_two
+
+    known, known2 = np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 1, 4, 6, 0], np.uint64)
+    values, values2 = np.array([5, 5, 5, 5, 3, 3, 9, 9, 7], np.uint64), np.array([1, 4, 6, 5, 1, 2, 0, 1, 1], np.uint64)
+    hit, at = among_two(values, values2, known, known2)
+    assert hit.tolist() == [True, True, True, False, True, False, True, False, False]
+    assert at[hit].tolist() == [1, 2, 3, 0, 4]
+    assert not among_two(values, values2, known[:0], known2[:0])[0].any()
+
+
+def test_suffix_dedup_of_chunks_and_a_hot_passage(spark):
+    """More than a chunk of text in a batch, and one passage in most documents."""
+    rng = random.Random(12)
+    passage = " ".join(str(rng.random()) for _ in range(8))
+    rows = [(i, " ".join(str(rng.random()) for _ in range(400)) + (passage if i % 4 else "") + f" {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.remove_repeats(df).collect()}
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        b = t.encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    for i, t in rows:
+        b, gone = t.encode(), bytearray(len(t))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\x01" * 50
+        spans = sum(1 for j, g in enumerate(gone) if g and not (j and gone[j - 1]))
+        assert got[i] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+
+
 def test_suffix_index_levels_grow_geometrically():
     text = np.frombuffer(("abcde" * 400 + "xyz" * 300).encode(), np.uint8)
     at = np.arange(len(text) - 9)

@@ -3,7 +3,12 @@
 Paragraphs give points for their length and commas to the elements above them,
 less the share of their text that is links.  The element with the most points
 holds the article; siblings of it with enough points, or with long text and few
-links, belong to it.
+links, belong to it, as do headings, lists and short paragraphs beside a section.
+
+Names of elements (class, id, role) count after the scores.  An element named for
+what is no article gives its points at a discount, is left out where the rest
+has more, and is kept where the best text is inside it.  A name that only
+mentions such a thing (``has-sidebar``, ``related-work``) does not mark an element.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 #: Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav header footer aside form button select option datalist input label svg math object canvas audio video dialog menu map figcaption".split())
+DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav header footer aside form button select option datalist input svg object canvas audio video dialog menu map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -31,6 +36,16 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices alert overlay pager pagination popup promo promotion related reply replies respond search share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription tags toolbar tooltip widget widgets complementary contentinfo dialog".split()
 )
+#: Words beside those by which a name still is that of a part of the page.
+STRUCTURE = frozenset(
+    "a all area aside b bar block bottom box btn button buttons c center class col column container content count cta desktop div el element empty entry field fixed float footer form global grid group head heading icon icons id inline inner input item items js large layout left level line link links list main mobile module more name nav new note number outer page pane panel part post posts prev next primary region right row s section secondary set signup site size slot small sm md lg xl span sticky strip sub text thread title top unit up user view wide wrap wrapper x".split()
+)
+#: Words that say how an element is, not what it is.
+STATES = frozenset("has have with without no not is enabled disabled".split())
+#: What the points of a paragraph in an element with a noise name are worth, against those of others.
+DISCOUNT = 0.2
+#: Beside a section these belong to the article even when short.
+SMALL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table section".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none))""", re.I)
@@ -38,10 +53,12 @@ _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "noise", "score", "size", "linked")
+    """noise: the element is no part of any article; named: its name says that it is none."""
 
-    def __init__(self, tag: str, up: "Node | None", noise: bool = False):
-        self.tag, self.up, self.noise = tag, up, noise
+    __slots__ = ("tag", "up", "kids", "noise", "named", "score", "size", "linked")
+
+    def __init__(self, tag: str, up: "Node | None", noise: bool = False, named: bool = False):
+        self.tag, self.up, self.noise, self.named = tag, up, noise, named
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = 0
@@ -50,13 +67,20 @@ class Node:
 def _is_noise(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
+    return bool(attributes) and tag not in ("body", "html", "article", "main") and _HIDDEN.search(attributes) is not None
+
+
+def _is_named(tag: str, attributes: str) -> bool:
+    """Some name of the element is of words for what is no article, and of words for parts of a page only."""
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for m in _NAMED.finditer(attributes):
-        if any(p.lower() in NOISE for p in _PARTS.split(m[2] or m[3] or m[4] or "")):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [p.lower() for p in _PARTS.split(name) if p]
+            if not any(w in NOISE for w in words) or any(w in STATES for w in words):
+                continue
+            if all(w in NOISE or w in STRUCTURE for w in words):
+                return True
     return False
 
 
@@ -104,7 +128,7 @@ def parse(source: str) -> Node:
             if last is not None:
                 top = last.up
         noise = _is_noise(tag, attributes)
-        node = Node(tag, top, noise)
+        node = Node(tag, top, noise, not noise and _is_named(tag, attributes))
         top.kids.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -117,7 +141,7 @@ def parse(source: str) -> Node:
 
 
 def _children(node: Node) -> Iterator["Node | str"]:
-    return (k for k in node.kids if isinstance(k, str) or not k.noise)
+    return (k for k in node.kids if isinstance(k, str) or not (k.noise or k.named))
 
 
 def _measure(root: Node) -> list[Node]:
@@ -187,11 +211,8 @@ def _blocks(nodes: "list[Node | str]") -> list[str]:
     return out
 
 
-def main_text(source: str | None) -> str:
-    """The article of a page: its blocks in page order, joined by a space; empty for an empty page."""
-    if not source:
-        return ""
-    root = parse(source)
+def _score(root: Node) -> Node:
+    """Sets the scores of all elements; the best of them."""
     order = _measure(root)
     for node in order:
         if node.tag in PARAGRAPHS and node.size and not _has_block(node):
@@ -205,18 +226,60 @@ def main_text(source: str | None) -> str:
         node.score *= 1 - _density(node)
         if node.tag in ("article", "main"):
             node.score = node.score * 2 + 1
-    best = max(reversed(order), key=lambda n: n.score, default=root)
+    return max(reversed(order), key=lambda n: n.score, default=root)
+
+
+def _named(root: Node) -> list[Node]:
+    """The topmost elements with a noise name."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        for k in node.kids:
+            if not isinstance(k, str) and not k.noise:
+                (out if k.named else stack).append(k)
+    return out
+
+
+def _best(root: Node) -> Node:
+    """The container of the article, found without elements of a noise name unless there is much more inside one of them."""
+    best = _score(root)
+    while named := _named(root):
+        inside = []
+        for top in named:
+            top.named = False
+            inside.append((_score(top).score * DISCOUNT, top))
+            top.named = True
+        most, top = max(inside, key=lambda x: x[0])
+        if most <= best.score:
+            break
+        top.named = False  # it goes round the article
+        stack = [root]
+        while stack:  # all anew
+            node = stack.pop()
+            node.score, node.size, node.linked = 0.0, 0, 0
+            stack += [k for k in node.kids if not isinstance(k, str)]
+        best = _score(root)
+    return best
+
+
+def main_text(source: str | None) -> str:
+    """The article of a page: its blocks in page order, joined by a space; empty for an empty page."""
+    if not source:
+        return ""
+    root = parse(source)
+    best = _best(root)
     if best.score <= 0 or best.tag in ("#root", "html"):
         return " ".join(_blocks([root]))
     kept: list[Node | str] = [best]
     if best.up is not None and best.tag not in ("body", "html"):
         kept = []
+        one_of_some = best.tag in SMALL or best.up.tag not in ("body", "html", "#root") and best.tag == "div"
         for k in _children(best.up):
             if isinstance(k, str):  # text beside the container
                 kept.append(k)
                 continue
             few = _density(k) < 0.25
-            if k is best or few and (k.score >= max(1.0, 0.2 * best.score) or (k.tag == "p" and k.size >= 80 or k.tag not in BLOCKS)):
+            if k is best or few and (k.score >= max(1.0, 0.2 * best.score) or (k.tag == "p" and k.size >= 80 or k.tag not in BLOCKS) or one_of_some and k.tag in SMALL):
                 kept.append(k)
     return " ".join(_blocks(kept))
 

@@ -480,6 +480,49 @@ HTML = [
 ]
 
 
+LONG = ("Long text, with commas, and more. " * 8).strip()
+HTML += [  # names that mention what is no article, and parts of one that are short
+    (f"<body><div class='site has-sidebar'><div class=content><p>{LONG}</p><p>End.</p></div><div class=sidebar><p>Side, a, b</p></div></div></body>", f"{LONG} End."),
+    (f"<body><div class='post share-enabled'><p>{LONG}</p></div><div><p>Short, block.</p></div></body>", LONG),
+    (f"<body><article><section id=search-algorithms><p>{LONG}</p></section><p class=related-work>Earlier work.</p></article></body>", f"{LONG} Earlier work."),
+    (f"<body><article><p>{LONG}</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>The sum <math><mi>x</mi>+<mi>y</mi></math> is <label>named</label>.</p></article></body>", f"{LONG} A caption. The sum x+y is named."),
+    (f"<body><div id=page><h1>Title</h1><section><h2>One</h2><p>{LONG}</p></section><h2>Between</h2><p>Brief.</p><ul><li>item</li></ul><section><h2>Two</h2><p>Small part.</p></section></div></body>", f"Title One {LONG} Between Brief. item Two Small part."),
+    (f"<body><div class=widget><div><p>{LONG}</p><p>{LONG}</p></div><div class=comments><p>Nice, post</p></div></div></body>", f"{LONG} {LONG}"),
+    (f"<body><div class=comment-list><p>{LONG}</p></div><article><p>{LONG} Yes.</p></article><div class='ad-banner'><p>{LONG}</p></div></body>", f"{LONG} Yes."),
+]
+
+
+def random_page(rng):
+    """A page and its article, in one of many layouts."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n)) + "."
+    para = lambda: f"{line(rng.randint(20, 60))} {line(12)[:-1]}, {line(9)}"
+    text, body = [], []
+    for _ in range(rng.randint(2, 6)):
+        kind = rng.choice(("p", "p", "p", "h2", "li", "figcaption", "pre"))
+        s = line(4) if kind in ("h2", "li", "figcaption") else para()
+        text.append(s)
+        body.append({"li": f"<ul><li>{s}</li></ul>", "figcaption": f"<figure><figcaption>{s}</figcaption></figure>"}.get(kind, f"<{kind}>{s}</{kind}>"))
+    s = para()
+    text.append(s)
+    body.append(f"<p>{s}</p>")
+    article = "".join(body)
+    around = rng.choice(("<article>%s</article>", "<div class='post-content share-enabled'>%s</div>", "<main><div>%s</div></main>", "<div id=wrapper class=with-sidebar><div class=entry>%s</div></div>"))
+    links = lambda: "".join(f"<li><a href=/{word()}>{line(3)}</a></li>" for _ in range(5))
+    noise = [f"<div class='{c}'><p>{line(15)}</p></div>" for c in ("sidebar", "comment-list", "cookie-notice", "social-share", "newsletter signup", "ad")]
+    noise += [f"<nav><ul>{links()}</ul></nav>", f"<footer><p>{line(8)}</p></footer>", f"<form><label>{line(2)}</label><input></form>", f"<script>{line(5)}</script>", f"<aside><p>{line(20)}</p></aside>"]
+    rng.shuffle(noise)
+    cut = rng.randint(0, 5)
+    return f"<html><head><title>{line(3)}</title></head><body>{''.join(noise[:cut])}{around % article}{''.join(noise[cut : cut + 4])}</body></html>", " ".join(text)
+
+
+def test_main_text_of_generated_pages():
+    rng = random.Random(2)
+    for _ in range(300):
+        page, want = random_page(rng)
+        assert html_extract.main_text(page) == want, page
+
+
 @pytest.mark.parametrize(("page", "want"), HTML)
 def test_main_text(page, want):
     assert html_extract.main_text(page) == want

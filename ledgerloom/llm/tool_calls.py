@@ -2,10 +2,16 @@
 
 A message's text is plain, or a JSON object by which
 
-* a system message declares tools: ``{"tools": [{"name", "parameters": {"properties", "required", "additionalProperties"}}]}``,
+* a system message declares tools: ``{"tools": [{"name", "parameters": <JSON Schema>}]}``,
 * an assistant message makes calls: ``{"content", "tool_calls": [{"id", "name", "arguments": {..}}]}``,
 * a tool message answers one: ``{"tool_call_id", "content"}``.
 
+Arguments are validated against the tool's schema ``DEPTH`` levels deep: type (one or
+a list), enum, const, required, properties, additionalProperties (true or false),
+items, and the bounds of numbers, strings and arrays.  Combinations of schemas
+(anyOf, oneOf, allOf, not, $ref), additionalProperties that are schemas and formats
+are not looked at.
+
 Calls and results meet in a hash join on conversation and identifier.  Only
 messages that make or answer calls are joined or grouped, and each group is the
 calls of one message; plain messages pass through without a shuffle, so neither
@@ -21,10 +27,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpoint_folder
+
+#: Levels of nested arguments that are validated.
+DEPTH = 4
+
+
+def _schema(depth: int) -> str:
+    """The type by which a JSON Schema is parsed; what may be of several types is kept as text."""
+    own = "type:string,enum:array<variant>,const:variant,minimum:double,maximum:double,exclusiveMinimum:double,exclusiveMaximum:double,minLength:int,maxLength:int,pattern:string,minItems:int,maxItems:int,required:array<string>,additionalProperties:string"
+    inner = f",properties:map<string,{_schema(depth - 1)}>,items:{_schema(depth - 1)}" if depth > 1 else ""
+    return f"struct<{own}{inner}>"
+
+
+_PARAMETERS = _schema(DEPTH)
 _CALL = "struct<id:string,name:string,arguments:string>"
-_TOOL = "struct<name:string,parameters:struct<properties:map<string,struct<type:string>>,required:array<string>,additionalProperties:boolean>>"
-_MESSAGE = f"struct<content:string,tool_call_id:string,tool_calls:array<{_CALL}>,tools:array<{_TOOL}>>"
-_KEY = ["conv_id", "turn", "role", "text"]
+_MESSAGE = f"struct<content:string,tool_call_id:string,tool_calls:array<{_CALL}>,tools:array<struct<name:string,parameters:string>>>"
+_KEY = ["conv_id", "turn", "role", "text_id"]
 
 #: What each JSON Schema type may look like as the type of a parsed value.
 _TYPES = {
@@ -45,24 +64,70 @@ def quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("x"))), r'^\{"x":|\}$', "")
 
 
-def argument_error(arguments: Column, tool: Column) -> Column:
-    """Null if ``arguments`` (JSON text) fit the schema ``tool``, or the first thing that is wrong."""
-    given = F.from_json(arguments, "map<string,variant>")
-    keys = F.map_keys(given)
-    properties = F.coalesce(tool["properties"], F.from_json(F.lit("{}"), "map<string,struct<type:string>>"))
-    missing = F.array_sort(F.array_except(F.coalesce(tool["required"], F.array().cast("array<string>")), keys))
-    extra = F.array_sort(F.array_except(keys, F.map_keys(properties)))
-    kind = lambda k: F.schema_of_variant(F.element_at(given, k))
-    fits = lambda k: reduce(
-        lambda other, item: F.when(F.element_at(properties, k)["type"] == item[0], F.coalesce(kind(k), F.lit("VOID")).rlike(item[1])).otherwise(other), _TYPES.items(), F.lit(True)
-    )
-    wrong = F.array_sort(F.filter(keys, lambda k: F.map_contains_key(properties, k) & ~fits(k)))
+def _joined(path: Column, key: Column) -> Column:
+    return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
+
+
+def _said(what: str, path: Column) -> Column:
+    return F.when(path == "", F.lit(what)).otherwise(F.concat(F.lit(f"{what} "), path))
+
+
+def _errors(value: Column, schema: Column, path: Column, depth: int) -> Column:
+    """An array of all that is wrong with ``value`` (a variant; null for JSON null) by ``schema``, ``path`` being where it stands."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    none = F.array().cast("array<string>")
+    some = lambda bad, said: F.when(F.coalesce(bad, F.lit(False)), F.array(said)).otherwise(none)
+    types = F.when(schema["type"].startswith("["), F.from_json(schema["type"], "array<string>")).otherwise(F.array(schema["type"]))
+    fits = lambda t: reduce(lambda other, item: F.when(t == item[0], kind.rlike(item[1])).otherwise(other), _TYPES.items(), F.lit(True))
+    as_json = F.coalesce(F.to_json(value), F.lit("null"))
+    number = F.when(kind.rlike(_TYPES["number"]), value.try_cast("double"))
+    text = F.when(kind.rlike(_TYPES["string"]), value.try_cast("string"))
+    found = [
+        some(schema["type"].isNotNull() & ~F.exists(types, fits), _said("wrong type", path)),
+        some(schema["enum"].isNotNull() & ~F.exists(schema["enum"], lambda x: F.coalesce(F.to_json(x), F.lit("null")) == as_json), _said("not in enum", path)),
+        some(schema["const"].isNotNull() & (F.to_json(schema["const"]) != as_json), _said("not the constant", path)),
+        some(
+            (number < schema["minimum"]) | (number <= schema["exclusiveMinimum"]) | (number > schema["maximum"]) | (number >= schema["exclusiveMaximum"])
+            | (F.length(text) < schema["minLength"]) | (F.length(text) > schema["maxLength"]),
+            _said("out of range", path),
+        ),
+        some((text.isNotNull() & schema["pattern"].isNotNull()) & ~F.regexp_like(text, schema["pattern"]), _said("not of the pattern", path)),
+    ]
+    # what is null here is false in SQL's three values: a bound that is not given breaks nothing
+    is_object, is_array = kind.rlike("^OBJECT"), kind.rlike("^ARRAY")
+    fields = F.when(is_object, value.try_cast("map<string,variant>"))
+    keys = F.array_sort(F.map_keys(fields))
+    found.append(F.when(is_object, F.transform(F.array_sort(F.array_except(F.coalesce(schema["required"], none), keys)), lambda k: F.concat(F.lit("missing "), _joined(path, k)))).otherwise(none))
+    elements = F.when(is_array, value.try_cast("array<variant>"))
+    found.append(some((F.size(elements) < schema["minItems"]) | (F.size(elements) > schema["maxItems"]), _said("wrong length", path)))
+    if depth > 1:
+        properties = schema["properties"]
+        known = F.coalesce(F.map_keys(properties), none)
+        found.append(
+            F.when(is_object & (schema["additionalProperties"] == "false"), F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit("unexpected "), _joined(path, k)))).otherwise(none)
+        )
+        child = lambda v, of, at: F.struct(v.alias("value"), of.alias("schema"), at.alias("path"))
+        inside = F.transform(F.filter(keys, lambda k: F.array_contains(known, k)), lambda k: child(F.element_at(fields, k), F.element_at(properties, k), _joined(path, k)))
+        each = F.when(schema["items"].isNotNull(), F.transform(elements, lambda x, i: child(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        children = F.flatten(F.filter(F.array(inside, each), lambda x: x.isNotNull()))
+        found.append(F.coalesce(F.flatten(F.transform(children, lambda c: _errors(c["value"], c["schema"], c["path"], depth - 1))), none))
+    return F.flatten(F.array(*found))
+
+
+def argument_error(arguments: Column, parameters: Column) -> Column:
+    """Null if ``arguments`` (JSON text) fit the JSON Schema ``parameters`` (text; null: no such tool), or the first thing that is wrong.
+
+    A schema that is no JSON object asks for an object only.
+    """
+    given = F.try_parse_json(arguments)
+    schema = F.coalesce(F.from_json(parameters, _PARAMETERS), F.from_json(F.lit("{}"), _PARAMETERS))
+    wrong = _errors(given, schema, F.lit(""), DEPTH)
+    at = lambda kind: F.get(F.filter(F.array_sort(wrong), lambda e: e.startswith(kind)), F.lit(0))
+    first = F.coalesce(at("missing "), at("unexpected "), at("wrong type"), at(""))
     return (
-        F.when(tool.isNull(), F.lit("unknown tool"))
-        .when(given.isNull() | ~F.coalesce(F.trim(arguments).startswith("{"), F.lit(False)), F.lit("arguments are no object"))
-        .when(F.size(missing) > 0, F.concat(F.lit("missing "), missing[0]))
-        .when((tool["additionalProperties"] == F.lit(False)) & (F.size(extra) > 0), F.concat(F.lit("unexpected "), extra[0]))
-        .when(F.size(wrong) > 0, F.concat(F.lit("wrong type "), wrong[0]))
+        F.when(parameters.isNull(), F.lit("unknown tool"))
+        .when(given.isNull() | ~F.coalesce(F.schema_of_variant(given).startswith("OBJECT"), F.lit(False)), F.lit("arguments are no object"))
+        .otherwise(first)
     )
 
 
@@ -93,10 +158,15 @@ def chat_records(conversations: DataFrame) -> DataFrame:
     )
     looks = F.col("text").startswith("{") & F.col("role").isin("system", "assistant", "tool")
     rows = rows.withColumn("m", F.when(looks, F.from_json("text", _MESSAGE)))
+    declares = (F.col("role") == "system") & (F.size("m.tools") > 0)
     makes = (F.col("role") == "assistant") & (F.size("m.tool_calls") > 0)
     answers = (F.col("role") == "tool") & F.col("m.tool_call_id").isNotNull()
     kind = F.when(makes, F.lit("calls")).when(answers, F.lit("answer")).otherwise(F.lit("plain"))
     rows = rows.withColumn("kind", F.coalesce(kind, F.lit("plain")))
+    # the few messages that declare, make or answer calls, read once; a text is known by its digest from here on
+    special = rows.where((F.col("kind") != "plain") | declares).select("conv_id", "turn", "role", "kind", "text", F.sha2("text", 256).alias("text_id"))
+    checkpoint_folder(conversations.sparkSession)
+    special = special.checkpoint().withColumn("m", F.from_json("text", _MESSAGE))
 
     plain = rows.where("kind = 'plain'").select(
         "conv_id", "turn", "role", F.col("turn").alias("ord_turn"), F.lit(0).alias("ord_kind"), F.lit(0).alias("ord_pos"),
@@ -104,19 +174,19 @@ def chat_records(conversations: DataFrame) -> DataFrame:
         F.concat(F.lit('{"content":'), quoted(F.col("text")), F.lit(',"role":'), quoted(F.col("role")), F.lit("}")).alias("json"),
     )
 
-    tools = rows.where((F.col("role") == "system") & (F.size("m.tools") > 0)).select("conv_id", "turn", F.posexplode("m.tools").alias("tool_pos", "tool"))
-    tools = tools.select("conv_id", "turn", "tool_pos", F.col("tool.name").alias("name"), F.coalesce("tool.parameters", F.from_json(F.lit("{}"), _TOOL.split("parameters:", 1)[1][:-1])).alias("parameters"))
-    tools = tools.where("name is not null").withColumn("shape", F.to_json("parameters"))
-    tools = _first(tools, ["conv_id", "name"], ["turn", "tool_pos", "shape"], ["parameters"]).select("conv_id", "name", "parameters")
+    tools = special.where("role = 'system'").select("conv_id", "turn", F.posexplode("m.tools").alias("tool_pos", "tool"))
+    tools = tools.select("conv_id", "turn", "tool_pos", F.col("tool.name").alias("name"), F.coalesce("tool.parameters", F.lit("{}")).alias("parameters")).where("name is not null")
+    tools = _first(tools, ["conv_id", "name"], ["turn", "tool_pos", "parameters"], []).select("conv_id", "name", "parameters")
 
-    counted = rows.where("kind <> 'plain'").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("times")).withColumn("m", F.from_json("text", _MESSAGE))
-    calls = counted.where("role = 'assistant'").select(*_KEY, "times", F.col("m.content").alias("content"), F.posexplode("m.tool_calls").alias("pos", "call"))
-    calls = calls.select(*_KEY, "times", "content", "pos", F.col("call.id").alias("id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
-    results = counted.where("role = 'tool'").select(*_KEY, "times", F.col("m.content").alias("content"), F.col("m.tool_call_id").alias("id"))
+    counted = special.where("kind <> 'plain'").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text")).withColumn("m", F.from_json("text", _MESSAGE))
+    calls = counted.where("role = 'assistant'").select(*_KEY, "text", "times", F.col("m.content").alias("content"), F.posexplode("m.tool_calls").alias("pos", "call"))
+    calls = calls.select(*_KEY, "text", "times", "content", "pos", F.col("call.id").alias("id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
+    results = counted.where("role = 'tool'").select(*_KEY, "text", "times", F.col("m.content").alias("content"), F.col("m.tool_call_id").alias("id"))
 
-    owner = _first(calls.where("id is not null"), ["conv_id", "id"], ["turn", "text", "pos"], [])
-    owner = owner.select("conv_id", "id", F.col("turn").alias("call_turn"), F.col("text").alias("call_text"), F.col("pos").alias("call_pos"))
-    answer = _first(results, ["conv_id", "id"], ["turn", "text"], []).select("conv_id", "id", F.col("turn").alias("answer_turn"), F.col("text").alias("answer_text"))
+    owner = _first(calls.where("id is not null"), ["conv_id", "id"], ["turn", "text", "pos"], ["text_id"])
+    owner = owner.select("conv_id", "id", F.col("turn").alias("call_turn"), F.col("text_id").alias("call_text"), F.col("pos").alias("call_pos"))
+    answer = _first(results, ["conv_id", "id"], ["turn", "text"], ["text_id"]).select("conv_id", "id", F.col("turn").alias("answer_turn"), F.col("text_id").alias("answer_text"))
+    calls, results = calls.drop("text"), results.drop("text")
 
     def joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
         right = right.withColumnsRenamed({k: f"r_{k}" for k in keys}).hint("shuffle_hash")
@@ -124,7 +194,7 @@ def chat_records(conversations: DataFrame) -> DataFrame:
         return left.join(right, on, "left").drop(*[f"r_{k}" for k in keys])
 
     calls = joined(joined(joined(calls, owner, "conv_id", "id"), answer, "conv_id", "id"), tools.withColumnRenamed("name", "tool_name").withColumnRenamed("tool_name", "name"), "conv_id", "name")
-    mine = F.col("call_turn").eqNullSafe(F.col("turn")) & (F.col("call_text") == F.col("text")) & (F.col("call_pos") == F.col("pos"))
+    mine = F.col("call_turn").eqNullSafe(F.col("turn")) & (F.col("call_text") == F.col("text_id")) & (F.col("call_pos") == F.col("pos"))
     linked = F.coalesce(mine & F.col("answer_text").isNotNull(), F.lit(False))
     error = argument_error(F.col("arguments"), F.col("parameters"))
     one = F.concat(
@@ -142,7 +212,7 @@ def chat_records(conversations: DataFrame) -> DataFrame:
     )
 
     results = joined(joined(results, owner, "conv_id", "id"), answer, "conv_id", "id")
-    first = F.col("answer_turn").eqNullSafe(F.col("turn")) & (F.col("answer_text") == F.col("text"))
+    first = F.col("answer_turn").eqNullSafe(F.col("turn")) & (F.col("answer_text") == F.col("text_id"))
     status = F.when(F.col("call_text").isNull(), "orphan").when(first, "linked").otherwise("repeated")
     early = F.col("call_text").isNotNull() & (F.coalesce("turn", F.lit(-(2**62))) <= F.coalesce("call_turn", F.lit(-(2**62))))
     results = results.select(

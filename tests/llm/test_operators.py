@@ -699,6 +699,67 @@ def test_chat_records(spark):
     assert tool_calls.chat_records(df.where("false")).count() == 0
 
 
+SCHEMA = {
+    "properties": {
+        "unit": {"enum": ["m", "kg", 3, None]}, "n": {"type": ["integer", "null"], "minimum": 1, "exclusiveMaximum": 10}, "code": {"type": "string", "pattern": "^[A-Z]+$", "maxLength": 4},
+        "place": {"type": "object", "required": ["city"], "additionalProperties": False, "properties": {"city": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}, "maxItems": 2}}},
+        "rows": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["id"], "properties": {"id": {"type": "number"}}}}, "kind": {"const": "a"}, "free": {},
+    },
+    "required": ["n"],
+}
+ARGUMENTS = [
+    ({"n": 1}, None), ({"n": None}, None), ({"n": 1.5}, "wrong type n"), ({"n": "1"}, "wrong type n"), ({"n": 0}, "out of range n"), ({"n": 10}, "out of range n"), ({}, "missing n"),
+    ({"n": 2, "unit": "kg"}, None), ({"n": 2, "unit": 3}, None), ({"n": 2, "unit": None}, None), ({"n": 2, "unit": "3"}, "not in enum unit"), ({"n": 2, "unit": ["m"]}, "not in enum unit"),
+    ({"n": 2, "code": "AB"}, None), ({"n": 2, "code": "ab"}, "not of the pattern code"), ({"n": 2, "code": "ABCDE"}, "out of range code"),
+    ({"n": 2, "place": {"city": "x", "tags": ["a"]}}, None), ({"n": 2, "place": {}}, "missing place.city"), ({"n": 2, "place": {"city": "x", "zip": 1}}, "unexpected place.zip"), ({"n": 2, "place": {"city": 1}}, "wrong type place.city"),
+    ({"n": 2, "place": {"city": "x", "tags": ["a", 1]}}, "wrong type place.tags[1]"), ({"n": 2, "place": {"city": "x", "tags": ["a", "b", "c"]}}, "wrong length place.tags"), ({"n": 2, "place": []}, "wrong type place"),
+    ({"n": 2, "rows": []}, "wrong length rows"), ({"n": 2, "rows": [{"id": 1}, {"id": 2.5}]}, None), ({"n": 2, "rows": [{"id": 1}, {}]}, "missing rows[1].id"), ({"n": 2, "rows": [{"id": "1"}]}, "wrong type rows[0].id"),
+    ({"n": 2, "kind": "a"}, None), ({"n": 2, "kind": "b"}, "not the constant kind"), ({"n": 2, "free": {"any": [1, None]}, "more": 1}, None), ([], "arguments are no object"), (None, "arguments are no object"),
+]
+
+
+def test_arguments_are_validated_by_nested_schemas(spark):
+    rows = [(i, json.dumps(a), json.dumps(SCHEMA), want) for i, (a, want) in enumerate(ARGUMENTS)]
+    rows += [(100, '{"n": 1', json.dumps(SCHEMA), "arguments are no object"), (101, None, json.dumps(SCHEMA), "arguments are no object"), (102, "{}", None, "unknown tool"), (103, '{"a": 1}', "{}", None), (104, "{}", "no schema", None)]
+    df = spark.createDataFrame(rows, "i int, arguments string, parameters string, want string")
+    from pyspark.sql import functions as F
+
+    got = df.select("i", "want", tool_calls.argument_error(F.col("arguments"), F.col("parameters")).alias("got")).collect()
+    assert [(r.i, r.got) for r in got] == [(r.i, r.want) for r in got]
+
+
+def test_many_calls_and_results_link(spark):
+    """Generated conversations, a third of all messages in one of them, null ids and long texts among them, against a plain-Python version."""
+    rng = random.Random(21)
+    rows = []
+    for n in range(400):
+        conv, turn = (7 if rng.random() < 0.33 else rng.randint(0, 40)), rng.randint(0, 30)
+        ident = lambda: rng.choice([None, *(f"c{i}" for i in range(25))])
+        if rng.random() < 0.5:
+            rows.append((conv, turn, "assistant", json.dumps({"content": "x" * rng.choice((1, 5000)), "tool_calls": [{"id": ident(), "name": "f", "arguments": "{}"} for _ in range(rng.randint(1, 3))]})))
+        else:
+            rows.append((conv, turn, "tool", json.dumps({"tool_call_id": ident(), "content": str(n)})))
+    got = tool_calls.chat_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    owners, answers = {}, {}
+    for conv, turn, role, text in rows:
+        m = json.loads(text)
+        if role == "assistant":
+            for pos, c in enumerate(m["tool_calls"]):
+                if c["id"] is not None:
+                    owners[conv, c["id"]] = min(owners.get((conv, c["id"]), (turn, text.encode(), pos)), (turn, text.encode(), pos))
+        elif m["tool_call_id"] is not None:
+            answers[conv, m["tool_call_id"]] = min(answers.get((conv, m["tool_call_id"]), (turn, text.encode())), (turn, text.encode()))
+    linked = sum(1 for k in owners if k in answers)
+    assert sum(r.n_linked for r in got) == linked
+    assert sum(r.status == "linked" for r in got) == linked
+    assert all(r.n_invalid == r.n_calls for r in got)  # no tools are declared
+    place = {}
+    for r in got:
+        place.setdefault(r.conv_id, []).append((r.ord_turn, r.ord_kind, r.ord_pos, r.status))
+    assert sum(s[3] == "orphan" for v in place.values() for s in v) == sum(1 for conv, _, role, text in rows if role == "tool" and json.loads(text)["tool_call_id"] is not None and (conv, json.loads(text)["tool_call_id"]) not in owners)
+
+
 def test_chat_records_stay_in_the_engine(spark, sf_dir):
     plan = tool_calls.chat_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

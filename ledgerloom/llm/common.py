@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees the disk of shuffles and checkpoints that nothing refers to any more; Spark finds them when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows up to which a table that has just been counted is broadcast.
 SMALL_ROWS = 20_000
 

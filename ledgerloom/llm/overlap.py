@@ -1,8 +1,9 @@
 """Pairs of sets with a Jaccard similarity, by a prefix filter that loses none.
 
 The members of all sets are put in one order, frequent ones last.  Two sets of a
-given similarity share a member among the first few of both, so pairs come from
-blocks, one for each member that stands so early in two sets.
+given similarity share a number of members among the first few of both, so pairs
+come from blocks, one for each member that stands so early in two sets, and count
+if they meet in enough of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, partitions, whole_groups
 from .shingles import shingle_hashes, words_id
 
-#: Pairs looked at at once.
+#: Pairs looked at, at once.
 AT_ONCE = 2_000_000
 #: Members that a task counts at once, the most frequent of them that it names, and of all tasks.
 KNOWN = 2_000_000
@@ -75,9 +76,9 @@ def prefix(hashes: np.ndarray, similarity: float, known: np.ndarray, rank: np.nd
 
 
 def blocks_of_two(texts: DataFrame, top: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """token, same, size, pos: the prefix members of each text that another text of fitting size also has in its prefix.
+    """token, same, size: the prefix members of each text that another text of fitting size also has in its prefix.
 
-    same names a text by its words; size is the number of its shingles, pos the place of the token.
+    same names a text by its words; size is the number of its shingles.
     ``top`` are frequent shingles, the most frequent first (``FREQUENT`` at most).
     """
     p = partitions(texts.sparkSession)
@@ -100,9 +101,9 @@ def blocks_of_two(texts: DataFrame, top: np.ndarray, shingle: int, similarity: f
                 n = [len(h) for _, _, h in found]
                 columns = (
                     np.concatenate([h for _, _, h in found]).view(np.int64), np.repeat(np.array([s for s, _, _ in found], np.uint64).view(np.int64), n),
-                    np.repeat(np.array([s for _, s, _ in found], np.int32), n), np.concatenate([np.arange(x, dtype=np.int32) for x in n]),
+                    np.repeat(np.array([s for _, s, _ in found], np.int32), n),
                 )
-                yield pa.record_batch([pa.array(x) for x in columns], names=["token", "same", "size", "pos"])
+                yield pa.record_batch([pa.array(x) for x in columns], names=["token", "same", "size"])
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows stand by token and size, so a text has a partner if the next text or the one before fits."""
@@ -127,22 +128,33 @@ def blocks_of_two(texts: DataFrame, top: np.ndarray, shingle: int, similarity: f
             last = x[-1]
             y = x[kept]
             if len(y):
-                yield pa.record_batch([pa.array(y[:, 0]), pa.array(y[:, 1]), pa.array(y[:, 2].astype(np.int32)), pa.array(y[:, 3].astype(np.int32))], names=["token", "same", "size", "pos"])
+                yield pa.record_batch([pa.array(y[:, 0]), pa.array(y[:, 1]), pa.array(y[:, 2].astype(np.int32))], names=["token", "same", "size"])
 
-    kinds = "token long, same long, size int, pos int"
+    kinds = "token long, same long, size int"
     rows = texts.select("text").mapInArrow(prefixes, kinds).repartition(p, "token").sortWithinPartitions("token", "size", "same")
     return rows.mapInArrow(partnered, kinds)
 
 
-def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of unlike label that share a token and may be as similar as ``similarity``, by their sizes and the token's places; some at a time.
+def least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many members of their prefixes two sets of n and m members share at least, if they are similar.
+
+    Of the two prefixes one ends first in the common order.  What the sets share
+    up to there is in both; after it that set has no more than the members outside its prefix.
+    """
+    both = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    rest = np.ceil(similarity * np.maximum(n, m) - 1e-9) - 1
+    return np.maximum(1, both - rest).astype(np.int64)
+
+
+def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of unlike label and fitting size that share a token: both names, how many tokens, and how many they must share at least; some at a time.
 
     Of two texts of unlike label one at least is not of the label that most in the
     block have, so only those look for partners: a block of one large group costs
     no more than its few others times its rows.
     """
     order = np.lexsort((same, size, token))
-    token, same, label, size, pos = (x[order] for x in (token, same, label, size, pos))
+    token, same, label, size = (x[order] for x in (token, same, label, size))
     group = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
     by_label = np.lexsort((label, group))
     g, l = group[by_label], label[by_label]
@@ -150,7 +162,8 @@ def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np
     times = np.diff(np.append(first, len(g)))
     most = np.lexsort((-times, g[first]))
     most = most[np.concatenate(([True], g[first[most]][1:] != g[first[most]][:-1]))]
-    seeks = np.flatnonzero(label != l[first[most]][group])
+    seeking = label != l[first[most]][group]
+    seeks = np.flatnonzero(seeking)
     wide = int(size.max()) + 2
     place = group * wide + size
     lo = np.searchsorted(place, group[seeks] * wide + np.ceil(size[seeks] * similarity - 1e-9).astype(np.int64))
@@ -164,32 +177,32 @@ def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np
         i = np.repeat(seeks[start:stop], n)
         j = np.repeat(lo[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         start = stop
-        good = label[i] != label[j]
-        i, j = i[good], j[good]
-        # the shared token that comes first in both: no other can be shared before it
-        good = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+        good = (label[i] != label[j]) & (~seeking[j] | (i < j))  # two that both look meet once
         i, j = i[good], j[good]
-        pairs = np.unique(np.stack((np.minimum(same[i], same[j]), np.maximum(same[i], same[j])), axis=1), axis=0)
-        yield pairs[:, 0], pairs[:, 1]
+        swap = same[i] > same[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        rows, at, shared = np.unique(np.stack((same[i], same[j]), axis=1), axis=0, return_index=True, return_counts=True)
+        yield rows[:, 0], rows[:, 1], shared, least_shared(size[i[at]], size[j[at]], similarity)
 
 
 def pairs_in_blocks(blocks: DataFrame, label: DataFrame, similarity: float, one: bool) -> DataFrame:
     """a, b: pairs of unlike label that may be as similar as ``similarity``; a text not in ``label`` (same, label) is its own.
 
-    All pairs that share a block, or with ``one`` those of a single text of each label in a block.
+    All pairs that meet in enough blocks, or with ``one`` those among the texts that labels are named by.
     """
     p = partitions(blocks.sparkSession)
-    rows = blocks.join(label, "same", "left").select("token", "same", F.coalesce("label", "same").alias("label"), "size", "pos")
+    rows = blocks.join(label, "same", "left").select("token", "same", F.coalesce("label", "same").alias("label"), "size")
     if one:
-        rows = rows.groupBy("token", "label").agg(F.min(F.struct("pos", "size", "same")).alias("m")).select("token", "m.same", "label", "m.size", "m.pos")
+        rows = rows.where("same = label")
     rows = rows.repartition(p, "token").sortWithinPartitions("token")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in whole_groups(batches, 1):
-            for a, b in block_pairs(*(np.ascontiguousarray(c) for c in x.T), similarity):
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            for columns in block_pairs(*(np.ascontiguousarray(c) for c in x.T), similarity):
+                yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "shared", "least"])
 
-    return cut(rows.mapInArrow(pairs, "a long, b long").distinct())
+    met = rows.mapInArrow(pairs, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    return cut(met.where("shared >= least").select("a", "b"))
 
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

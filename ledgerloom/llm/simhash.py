@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, free_name, id_and_text, partitions, whole_groups
+from .common import as_bytes, cut, free_name, id_and_text, let_go, partitions, whole_groups
 from .components import components, part_of
 from .overlap import FREQUENT, Counts, alike_pairs, blocks_of_two, pairs_in_blocks
 from .shingles import shingle_hashes, words_id
@@ -236,9 +236,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Two texts are linked if their shingle sets have a Jaccard similarity of
     ``similarity`` or more.  Fingerprints of the sets within ``budget`` bits propose links
     first, in forests, which join large groups cheaply.  What they pass over is found by
-    ``overlap``, which loses no link between two of the groups: first by a pair of texts
-    for each two groups with a rare shingle in common, then by all pairs that may be
-    similar enough.  Proposals hold if the sets are.
+    ``overlap``, which loses no link between two of the groups: first among the texts that
+    groups are named by, then by all pairs that may be similar enough.  Proposals hold if
+    the sets are.
     Texts of the same words are one node, whose smallest id stays.
     Texts without words are alike.  Null ids go first.  There is one way for every size.
     """
@@ -252,30 +252,32 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = cut(named.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("fp"), F.col("m.size").alias("size")))
     proposed = links(nodes.select(F.col("same").alias("first"), "fp", "size"), budget, size_ratio=similarity)
     proposed = cut(proposed.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct())
-    blocks = cut(blocks_of_two(slim, _frequent(sketched), shingle, similarity))
-    # the sets of all texts that have part in a proposal or a block, read once
-    wanted = proposed.select(F.col("a").alias("same")).union(proposed.select("b")).union(blocks.select("same")).distinct()
-    wanted = nodes.join(wanted, "same", "left_semi").select("same", F.col("first").alias("id"), "own")
-    sets = slim.select("id", "own", "text").join(wanted.hint("merge"), ["id", "own"]).select("same", "text").mapInArrow(_sets(shingle), "same long, shingles binary")
-    sets = cut(sets.groupBy("same").agg(F.first("shingles").alias("shingles")))  # repeated rows as one
     name = nodes.select("same", F.struct("first", "same").alias("node"))
 
     def holding(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` that are similar enough, by names that sort by the smallest id."""
+        """Those of ``pairs`` that are similar enough, by names that sort by the smallest id; only texts of a pair are read."""
+        wanted = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(wanted, "same", "left_semi").select("same", F.col("first").alias("id"), "own")
+        sets = slim.select("id", "own", "text").join(wanted.hint("merge"), ["id", "own"]).select("same", "text").mapInArrow(_sets(shingle), "same long, shingles binary")
+        sets = cut(sets.groupBy("same").agg(F.first("shingles").alias("shingles")))  # repeated rows as one
+        let_go(docs.sparkSession)
         ab = alike_pairs(pairs, sets, similarity)
         ab = ab.join(name.withColumnsRenamed({"same": "a", "node": "na"}), "a").join(name.withColumnsRenamed({"same": "b", "node": "nb"}), "b")
-        return ab.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        return cut(ab.select(F.col("na").alias("a"), F.col("nb").alias("b")))
 
     label = cut(components(holding(proposed)))
+    blocks = cut(blocks_of_two(slim, _frequent(sketched), shingle, similarity))
+    let_go(docs.sparkSession)
     tested = None
     for one in (True, False):
         found = pairs_in_blocks(blocks, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), similarity, one)
         tested, found = found, found if tested is None else cut(found.join(tested, ["a", "b"], "left_anti"))
         if found.isEmpty():
-            break
-        more = cut(holding(found))
+            continue
+        more = holding(found)
         if not more.isEmpty():
             label = cut(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
+        let_go(docs.sparkSession)
     gone_nodes = label.where("node <> label").select(F.col("node.same").alias("same"))
     lost = rows.join(nodes.select("same", F.explode("parts").alias("part"), "first", F.col("own").alias("first_own")), ["same", "part"])
     lost = lost.join(gone_nodes.withColumn("whole", F.lit(True)), "same", "left")

@@ -349,8 +349,13 @@ def test_prefix_pairs_lose_no_similar_pair():
         n = [len(x) for x in cut]
         same = np.repeat(np.arange(len(sets)), n)
         label = same // 3 if _ % 2 else same
-        rows = (np.concatenate(cut).view(np.int64), same, label, np.repeat([len(x) for x in sets], n), np.concatenate([np.arange(x) for x in n]))
-        got = {(a, b) for x, y in overlap.block_pairs(*rows, 0.8) for a, b in zip(x.tolist(), y.tolist())}
+        rows = (np.concatenate(cut).view(np.int64), same, label, np.repeat([len(x) for x in sets], n))
+        met = collections.Counter()
+        for x, y, shared, least in overlap.block_pairs(*rows, 0.8):
+            for a, b, k, w in zip(x.tolist(), y.tolist(), shared.tolist(), least.tolist()):
+                met[a, b] += k
+                met[a, b, "least"] = w
+        got = {p for p in met if len(p) == 2 and met[p] >= met[*p, "least"]}
         for b in range(len(sets)):
             for a in range(b):
                 both = len(np.intersect1d(sets[a], sets[b]))

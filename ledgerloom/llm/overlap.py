@@ -22,8 +22,12 @@ from .shingles import shingle_hashes, words_id
 AT_ONCE = 2_000_000
 #: Members that a task counts at once, the most frequent of them that it names, and of all tasks.
 KNOWN = 2_000_000
-NAMED = 20_000
-FREQUENT = 50_000
+NAMED = 50_000
+FREQUENT = 500_000
+#: 64-bit words by which the tokens of a text are told at a glance.
+WORDS = 4
+#: Texts next to one another in a block that are tried first.
+BESIDE = 3
 #: Texts a task remembers to have seen.
 SEEN = 1_000_000
 
@@ -57,7 +61,7 @@ class Counts:
     def most(self) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent members, and their numbers of sets."""
         self._count()
-        at = np.flatnonzero(self.n > 2)
+        at = np.flatnonzero(self.n > 1)
         at = at[np.argsort(-self.n[at], kind="stable")[:NAMED]]
         return self.value[at], self.n[at]
 
@@ -146,15 +150,21 @@ def least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     return np.maximum(1, both - rest).astype(np.int64)
 
 
-def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float, met: np.ndarray | None = None, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of unlike label and fitting size that share a token: both names, how many tokens, and how many they must share at least; some at a time.
 
+    ``bits`` has a bit for each token that stands for a text in any block (tokens may share
+    bits), ``met`` their number; pairs of too few common bits are left out at once.
+
     Of two texts of unlike label one at least is not of the label that most in the
     block have, so only those look for partners: a block of one large group costs
     no more than its few others times its rows.
     """
     order = np.lexsort((same, size, token))
     token, same, label, size = (x[order] for x in (token, same, label, size))
+    if bits is not None:
+        bits = bits[order]
+        more = met[order] - np.bitwise_count(bits).sum(1, dtype=np.int64)  # tokens on a bit that another has set
     group = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
     by_label = np.lexsort((label, group))
     g, l = group[by_label], label[by_label]
@@ -179,26 +189,48 @@ def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np
         start = stop
         good = (label[i] != label[j]) & (~seeking[j] | (i < j))  # two that both look meet once
         i, j = i[good], j[good]
+        if bits is not None:
+            most_shared = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(more[i], more[j])
+            good = most_shared >= least_shared(size[i], size[j], similarity)
+            i, j = i[good], j[good]
         swap = same[i] > same[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         rows, at, shared = np.unique(np.stack((same[i], same[j]), axis=1), axis=0, return_index=True, return_counts=True)
         yield rows[:, 0], rows[:, 1], shared, least_shared(size[i[at]], size[j[at]], similarity)
 
 
+def chain_pairs(token: np.ndarray, same: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Of each block the pairs of fitting size that stand at most ``BESIDE`` apart in the order of their names, as in ``block_pairs``."""
+    order = np.lexsort((same, token))
+    token, same, size = token[order], same[order], size[order]
+    i = np.concatenate([np.arange(max(0, len(token) - d)) for d in range(1, BESIDE + 1)])
+    j = i + np.repeat(np.arange(1, BESIDE + 1), [max(0, len(token) - d) for d in range(1, BESIDE + 1)])
+    good = (token[i] == token[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+    i, j = i[good], j[good]
+    rows, at, shared = np.unique(np.stack((same[i], same[j]), axis=1), axis=0, return_index=True, return_counts=True)
+    return rows[:, 0], rows[:, 1], shared, -(-least_shared(size[i[at]], size[j[at]], similarity) // 2)
+
+
 def pairs_in_blocks(blocks: DataFrame, label: DataFrame, similarity: float, one: bool) -> DataFrame:
     """a, b: pairs of unlike label that may be as similar as ``similarity``; a text not in ``label`` (same, label) is its own.
 
-    All pairs that meet in enough blocks, or with ``one`` those among the texts that labels are named by.
+    All pairs that meet in enough blocks, or with ``one`` only texts that labels are named by, each with a few beside it.
     """
     p = partitions(blocks.sparkSession)
     rows = blocks.join(label, "same", "left").select("token", "same", F.coalesce("label", "same").alias("label"), "size")
     if one:
         rows = rows.where("same = label")
+    else:
+        at = F.pmod(F.xxhash64("token"), F.lit(64 * WORDS))
+        words = [F.bit_or(F.when(F.floor(at / 64) == w, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * WORDS}) % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+        rows = rows.join(blocks.groupBy("same").agg(F.count(F.lit(1)).alias("met"), *words), "same").select("token", "same", "label", "size", "met", *[f"w{w}" for w in range(WORDS)])
     rows = rows.repartition(p, "token").sortWithinPartitions("token")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in whole_groups(batches, 1):
-            for columns in block_pairs(*(np.ascontiguousarray(c) for c in x.T), similarity):
+            token, same, label, size = (np.ascontiguousarray(c) for c in x[:, :4].T)
+            found = [chain_pairs(token, same, size, similarity)] if one else block_pairs(token, same, label, size, similarity, x[:, 4], np.ascontiguousarray(x[:, 5:]).view(np.uint64))
+            for columns in found:
                 yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "shared", "least"])
 
     met = rows.mapInArrow(pairs, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))

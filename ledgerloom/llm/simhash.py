@@ -236,9 +236,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Two texts are linked if their shingle sets have a Jaccard similarity of
     ``similarity`` or more.  Fingerprints of the sets within ``budget`` bits propose links
     first, in forests, which join large groups cheaply.  What they pass over is found by
-    ``overlap``, which loses no link between two of the groups: first among the texts that
-    groups are named by, then by all pairs that may be similar enough.  Proposals hold if
-    the sets are.
+    ``overlap``, which loses no link between two of the groups: twice among texts that
+    groups are named by and that stand side by side, then by all pairs that may be similar
+    enough.  Proposals hold if the sets are.
     Texts of the same words are one node, whose smallest id stays.
     Texts without words are alike.  Null ids go first.  There is one way for every size.
     """
@@ -269,9 +269,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     blocks = cut(blocks_of_two(slim, _frequent(sketched), shingle, similarity))
     let_go(docs.sparkSession)
     tested = None
-    for one in (True, False):
+    for one in (True, True, False):
         found = pairs_in_blocks(blocks, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), similarity, one)
-        tested, found = found, found if tested is None else cut(found.join(tested, ["a", "b"], "left_anti"))
+        if tested is not None:
+            found = cut(found.join(tested, ["a", "b"], "left_anti"))
+        tested = found if tested is None else tested.union(found)
         if found.isEmpty():
             continue
         more = holding(found)

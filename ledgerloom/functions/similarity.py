@@ -37,6 +37,10 @@ def overlap_of_larger(a: Column, b: Column) -> Column:
     return _share(a, b, F.greatest(F.size(a), F.size(b)))
 
 
+#: Codes as alike as this are one, mistyped.
+NEAR_TYPO = 0.82
+
+
 def overlap_of_smaller(a: Column, b: Column) -> Column:
     return _share(a, b, F.least(F.size(a), F.size(b)))
 
@@ -89,7 +93,7 @@ def code_relation(a: Column, b: Column) -> Column:
     """exact, truncation (one or two last characters missing), near_typo or divergent."""
     gap = F.abs(F.length(a) - F.length(b))
     cut = gap.between(1, 2) & (F.least(F.length(a), F.length(b)) >= 4) & (a.startswith(b) | b.startswith(a))
-    return F.when((a == "") | (b == ""), "divergent").when(a == b, "exact").when(cut, "truncation").when(sequence_ratio(a, b) >= 0.82, "near_typo").otherwise("divergent")
+    return F.when((a == "") | (b == ""), "divergent").when(a == b, "exact").when(cut, "truncation").when(sequence_ratio(a, b) >= NEAR_TYPO, "near_typo").otherwise("divergent")
 
 
 @pandas_udf(StringType())

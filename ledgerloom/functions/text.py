@@ -103,15 +103,32 @@ def safe_continuation(c: Column, toxic: list[str]) -> Column:
     return (s != "") & ~s.rlike(r"^\d+(\.\d+)*\s+\S+") & ~any_marker(s, toxic)
 
 
+#: Patterns of a service's text and what stands in their place, in order.
+SERVICE_RULES = (
+    (r",(?=[A-ZÀ-Ú])", ", "),
+    (r"\)(?=[A-ZÀ-Ú])", ") "),
+    (r"(?<=[A-ZÀ-Ú])\((?=[A-ZÀ-Ú])", " ("),
+    (r"(?<=[A-ZÀ-Ú]),\s*E=", ", E="),
+    (r"(?<![\p{L}\p{N}_])NAO(?![\p{L}\p{N}_])", "NÃO"),
+    (r"(?<![\p{L}\p{N}_])ATE(?![\p{L}\p{N}_])", "ATÉ"),
+    (r"(?<=\d)\s*,\s*(?=\d)", ","),
+    (r"\s+,", ","),
+    (r"\(\s+", "("),
+    (r"\s+\)", ")"),
+    (r"\s+([;:.])", "$1"),
+    (r"(\d+)\s+X\s+(\d+)\s+(CM|MM|M)\b", "$1X$2 $3"),
+    (r"(?<=\b\d\s(?:MM|CM))-(?=[A-ZÀ-Ú])", " - "),
+    (r"(?i)(?<![\p{L}\p{N}_])(M)DE\s*V([AÃã])O(?![\p{L}\p{N}_])", "$1 DE V$2O"),
+    (r"(?i)\bPOR\s+TA\b", "PORTA"),
+    (r"(?i)\bELETRI\s+CISTA\b", "ELETRICISTA"),
+    (r"(?i)\bAUXILI\s+AR\b", "AUXILIAR"),
+    (r"\s{2,}", " "),
+)
+
+
 def spaced_service_text(c: Column) -> Column:
-    """Spaces put right around commas, brackets, stops and dimensions."""
-    s = clean(c)
-    for pattern, to in (
-        (r"(?<=\d)\s*,\s*(?=\d)", ","), (r"\s+,", ","), (r",(?=[A-ZÀ-Ú])", ", "), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\)(?=[A-ZÀ-Ú])", ") "),
-        (r"\s+([;:.])", "$1"), (r"(\d+)\s+X\s+(\d+)\s+(CM|MM|M)\b", "$1X$2 $3"), (r"\s{2,}", " "),
-    ):
-        s = F.regexp_replace(s, pattern, to)
-    return F.trim(s)
+    """Spaces put right around commas, brackets, stops and dimensions, and words that print often breaks."""
+    return F.trim(reduce(lambda s, rule: F.regexp_replace(s, *rule), SERVICE_RULES, clean(c)))
 
 
 def split_glued(c: Column) -> Column:

@@ -6,13 +6,14 @@ all.  Cheap measures go first, and the costly ones see the shortlist only.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import close
-from ..functions.similarity import char_trigrams, code_relation, jaccard, overlap_of_larger, overlap_of_smaller, sequence_ratio
+from ..functions.similarity import NEAR_TYPO, char_trigrams, code_relation, jaccard, overlap_of_larger, overlap_of_smaller, sequence_ratio
 from ..functions.text import norm_upper, semantic_tokens, tokens
 from .sets import first_by
 
@@ -106,13 +107,37 @@ def accepts(score: Column, second: Column) -> Column:
     return reduce(lambda x, y: x | y, rules)
 
 
+def price_step(price: Column) -> Column:
+    """Prices that are close (5 %, or 0.15) are on the same step or the next."""
+    size = F.abs(price)
+    scaled = F.when(size <= 3, size / 0.15).otherwise(F.lit(20.0) + F.log(size / 3) / -math.log(0.95))
+    return F.floor(F.signum(price) * scaled * 0.98).cast("long")
+
+
+def hopeful(refs: DataFrame, blocks: DataFrame, ref_id: str) -> DataFrame:
+    """The references for which some block of their bank could be accepted by ``accepts``: every rule there asks for a close price or a related code.
+
+    Prices meet by their steps.  Codes that are cut or mistyped differ by few edits.
+    Both only ask whether there is such a block; no pair is kept.
+    """
+    b = blocks.select(F.col("bank").alias("b_bank"), F.col("price").alias("b_price"), F.col("code").alias("b_code"))
+    prices = b.where("b_price is not null").select("b_bank", "b_price", price_step(F.col("b_price")).alias("b_step")).distinct()
+    seeks = refs.where("price is not null").select(ref_id, "bank", "price", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: price_step(F.col("price")) + k)).alias("step"))
+    by_price = seeks.join(prices, (F.col("bank") == F.col("b_bank")) & (F.col("step") == F.col("b_step")) & close(F.col("price"), F.col("b_price"), 0.05, 0.15), "left_semi")
+    codes = b.where("b_code <> ''").select("b_bank", "b_code").distinct()
+    edits = F.greatest(F.floor((F.length("code") + F.length("b_code")) * (1 - NEAR_TYPO)).cast("int"), F.lit(2))
+    by_code = refs.where("code <> ''").join(codes, (F.col("bank") == F.col("b_bank")) & (F.abs(F.length("code") - F.length("b_code")) <= edits) & (F.levenshtein("code", "b_code") <= edits), "left_semi")
+    return by_price.select(ref_id).union(by_code.select(ref_id)).distinct()
+
+
 def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id: str = "block_id", k: int = 48) -> DataFrame:
     """Each reference with its block, or how it came to have none.
 
     ``refs`` and ``blocks`` have code, bank, item, descricao, unit, price, quant.
     Equal code and bank link directly; others are scored among blocks of the same
     bank that share the item or the code but for its last character, and the unit if
-    those are under twelve; where no block shares item or code, among all of the bank.
+    those are under twelve; where no block shares item or code, among all of the bank,
+    if any of it could be accepted at all (others have no score).
     Every reference is scored by itself, so the result does not depend on the order.
     """
     direct = refs.join(blocks.select(F.col(block_id), F.col("code").alias("bc"), F.col("bank").alias("bb")), (F.col("code") == F.col("bc")) & (F.col("bank") == F.col("bb")))
@@ -125,6 +150,7 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
     found = pairs.groupBy(ref_id).agg(F.count(F.lit(1)).alias("n"))
     few = rest.join(found.where("n < 12").select(ref_id), ref_id, "left_semi").where("unit <> ''")
     none = rest.join(found.select(ref_id), ref_id, "left_anti")
+    none = none.join(hopeful(none, blocks, ref_id), ref_id, "left_semi")
     pairs = pairs.union(candidates(few, blocks, [["bank", "unit"]], ref_id, block_id)).distinct().union(candidates(none, blocks, [["bank"]], ref_id, block_id))
     cols = ["code", "bank", "item", "unit", "price", "quant"]
     left = features(rest.select(ref_id, "descricao", *[F.col(x).alias(f"r_{x}") for x in cols]), "descricao", "r_").drop("descricao")
@@ -135,8 +161,11 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
     b_slim = slim(right, block_id, "b_")
     if len(blocks.select(block_id).limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:
         b_slim = F.broadcast(b_slim)
+    # a pair is a few bytes but much work, so its partitions are set here and not by size
+    p = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    pairs = pairs.repartition(p, ref_id)
     short = shortlist(pairs.join(slim(left, ref_id, "r_"), ref_id).join(b_slim, block_id).select(ref_id, block_id, cheap_score().alias("cheap")), ref_id, block_id, "cheap", k)
-    scored = full_score(short.join(left, ref_id).join(right, block_id))
+    scored = full_score(short.join(left, ref_id).join(right, block_id).repartition(p, ref_id))
     w = Window.partitionBy(ref_id).orderBy(F.col("score").desc(), block_id)
     best = scored.withColumns({"place": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(-1.0))}).where("place = 1")
     best = best.withColumn("ok", accepts(F.col("score"), F.col("second"))).select(ref_id, F.when(F.col("ok"), F.col(block_id)).alias("guess"), F.round("score", 4).alias("score"))

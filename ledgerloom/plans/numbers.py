@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import rows as R
 from ..operators import repair, sicro, structure
-from .registry import query, table
+from .registry import query, spread, table
 
 #: A price as the document prints it, and tokens that the readings differ on.
 PT = "replace(replace(replace(format('{{:,.2f}}', {x}::DOUBLE), ',', 'X'), '.', ','), 'X', '.')"
@@ -108,7 +108,8 @@ ROW_TEXT_SQL = f"""SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice,
 
 def row_texts(spark, sf_dir):
     """Composition rows as a document prints them."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(table(spark, sf_dir, "lineitem").select(*KEYS, "l_quantity", "l_extendedprice"))
+    rows = rows.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     line = F.concat(
         F.lit("Insumo "), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(" SINAPI "), F.upper("p_name"), F.lit(" TIPO "), F.col("p_type"), F.lit(" UN "),
         N.format_ptbr(F.col("l_quantity")), F.lit(" "), N.format_ptbr(F.col("p_retailprice")), F.lit(" "), N.format_ptbr(F.col("l_extendedprice")),

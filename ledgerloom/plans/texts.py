@@ -12,7 +12,7 @@ from ..functions.numeric import clean
 from ..operators import sicro
 from ..sources.readers import line_rows
 from .numbers import PT, row_texts
-from .registry import query, table
+from .registry import query, spread, table
 
 _UNMARK = f"translate({{x}}, '{T.MARKED}', '{T.PLAIN}')"
 _CLEAN = r"trim(regexp_replace(coalesce({x}, ''), '[ \t\n\r\x0B\f]+', ' ', 'g'))"
@@ -116,7 +116,7 @@ _KEYS = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"]
 
 
 def defects(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(table(spark, sf_dir, "lineitem").select(*_KEYS)).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     d = F.concat(F.lit("SERVENTE "), F.upper("p_name"), F.lit(" TIPO "), F.col("p_type"))
     kinds = [
         F.concat(F.lit("- "), d), F.concat(d, F.lit(" LS => 4,22")), F.concat(d, F.lit(" AF_02/2023 "), d, F.lit(" AF_06/2022")), F.concat(d, F.lit(" COM ENCARGOS COMPLEMENTARES LIVRO DE CALCULOS E PARAMETROS")),
@@ -192,11 +192,12 @@ def sicro_code_bank(spark, sf_dir):
     return rows.select("p_partkey", "r.codigo", "r.banco", "r.inverted", sicro.code_class(F.col("r.codigo")).alias("class"))
 
 
-@query("""SELECT o_orderkey, 'TUBO (PVC), 2X3 CM' || CASE WHEN o_orderkey % 2 = 0 THEN ': ' ELSE '; ' END || o_orderstatus AS text FROM orders""")
+@query("""SELECT o_orderkey, 'TUBO (PVC),2X3 CM' || CASE WHEN o_orderkey % 2 = 0 THEN ': ' ELSE '; ' END || o_orderstatus || CASE o_orderkey % 5 WHEN 0 THEN ', E=3 MM' WHEN 1 THEN ' NÃO ATÉ 2,5 M' WHEN 2 THEN ' 3 MM - PORTA DE ELETRICISTA' WHEN 3 THEN ' (A) AUXILIAR 2 M DE VÃO.' ELSE ' ATENÇÃO' END AS text FROM orders""")
 def service_text(spark, sf_dir):
-    raw = F.concat(F.lit("TUBO ( PVC ) ,2 X 3 CM"), F.when(F.col("o_orderkey") % 2 == 0, " : ").otherwise(" ; "), F.col("o_orderstatus"))
-    fixed = F.regexp_replace(T.spaced_service_text(raw), ",(?=2X)", ", ")
-    return table(spark, sf_dir, "orders").select("o_orderkey", fixed.alias("text"))
+    k = F.col("o_orderkey")
+    ends = F.array(*map(F.lit, [",E=3  MM", " NAO ATE 2 , 5 M", " 3 MM-POR TA DE ELETRI CISTA", "(A )AUXILI  AR 2 MDE VÃO .", " ATENÇÃO"]))
+    raw = F.concat(F.lit("TUBO ( PVC ) ,2 X 3 CM"), F.when(k % 2 == 0, " : ").otherwise(" ; "), F.col("o_orderstatus"), F.element_at(ends, (k % 5 + 1).cast("int")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.spaced_service_text(raw).alias("text"))
 
 
 @query("""SELECT p_partkey, p_partkey % 4 <> 3 AS suspicious FROM part""")

@@ -125,8 +125,11 @@ def hopeful(refs: DataFrame, blocks: DataFrame, ref_id: str) -> DataFrame:
     seeks = refs.where("price is not null").select(ref_id, "bank", "price", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: price_step(F.col("price")) + k)).alias("step"))
     by_price = seeks.join(prices, (F.col("bank") == F.col("b_bank")) & (F.col("step") == F.col("b_step")) & close(F.col("price"), F.col("b_price"), 0.05, 0.15), "left_semi")
     codes = b.where("b_code <> ''").select("b_bank", "b_code").distinct()
+    if len(codes.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:  # a few bytes each
+        codes = F.broadcast(codes)
+    p = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     edits = F.greatest(F.floor((F.length("code") + F.length("b_code")) * (1 - NEAR_TYPO)).cast("int"), F.lit(2))
-    by_code = refs.where("code <> ''").join(codes, (F.col("bank") == F.col("b_bank")) & (F.abs(F.length("code") - F.length("b_code")) <= edits) & (F.levenshtein("code", "b_code") <= edits), "left_semi")
+    by_code = refs.where("code <> ''").select(ref_id, "bank", "code").repartition(p, ref_id).join(codes, (F.col("bank") == F.col("b_bank")) & (F.abs(F.length("code") - F.length("b_code")) <= edits) & (F.levenshtein("code", "b_code") <= edits), "left_semi")
     return by_price.select(ref_id).union(by_code.select(ref_id)).distinct()
 
 

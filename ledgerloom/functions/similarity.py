@@ -7,6 +7,9 @@ pandas UDF, to be put behind the cheap measures.
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,6 +43,9 @@ def overlap_of_larger(a: Column, b: Column) -> Column:
 #: Codes as alike as this are one, mistyped.
 NEAR_TYPO = 0.82
 
+#: Codes up to this length are found by what is left of them after deletions: 299 keys for 12 characters.
+KEYED_LENGTH = 12
+
 
 def overlap_of_smaller(a: Column, b: Column) -> Column:
     return _share(a, b, F.least(F.size(a), F.size(b)))
@@ -49,6 +55,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return _share(a, b, F.size(F.array_union(a, b)))
 
 
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays without repeats, whose union need not be built."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))).otherwise(F.lit(0.0))
+
+
 def best_span(target: Column, text: Column) -> Column:
     """The largest share of the words of ``target`` that stand in place in some stretch of ``text`` of that length."""
     at = F.sequence(F.lit(0), F.greatest(F.size(text) - F.size(target), F.lit(0)))
@@ -74,6 +85,40 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@pandas_udf(DoubleType())
+def ratio_if_among_two(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """The sequence ratio of two texts, or null where their pair is surely not among the two best of its group.
+
+    Columns: group, points the pair has without the ratio, weight of the ratio, extra points
+    it may still bring, and the texts.  A pair is passed over if even the share of
+    common characters, which no ratio exceeds, leaves it below two pairs of its group
+    that were matched before.  Whatever the order, no pair of the two best is passed
+    over; the most are if groups come together, best points first.
+    """
+    group, first, second = None, -math.inf, -math.inf
+    for keys, points, weights, extras, left, right in parts:
+        out = []
+        for key, base, weight, extra, a, b in zip(keys, points, weights, extras, left, right):
+            if key != group:
+                group, first, second = key, -math.inf, -math.inf
+            a, b = a or "", b or ""
+            most = base + weight + extra
+            if most >= second - 1e-9 and a and b:
+                most = base + weight * min(1.0, 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))) + extra
+            if most < second - 1e-9:
+                out.append(None)
+                continue
+            ratio = _ratio(a, b)
+            out.append(ratio)
+            score = base + weight * ratio  # what it has at least
+            first, second = max(first, score), max(second, min(first, score))
+        yield pd.Series(out, dtype="float64")
+
+
+# it depends on the rows before: it must neither be asked twice nor moved below a sort
+ratio_if_among_two = ratio_if_among_two.asNondeterministic()
+
+
 def text_similarity(a: Column, b: Column) -> Column:
     """1 if equal; by length if one begins with the other; else the sequence ratio."""
     x, y = norm_upper(a), norm_upper(b)
@@ -93,7 +138,9 @@ def code_relation(a: Column, b: Column) -> Column:
     """exact, truncation (one or two last characters missing), near_typo or divergent."""
     gap = F.abs(F.length(a) - F.length(b))
     cut = gap.between(1, 2) & (F.least(F.length(a), F.length(b)) >= 4) & (a.startswith(b) | b.startswith(a))
-    return F.when((a == "") | (b == ""), "divergent").when(a == b, "exact").when(cut, "truncation").when(sequence_ratio(a, b) >= NEAR_TYPO, "near_typo").otherwise("divergent")
+    # no ratio exceeds what the edits leave in common; texts beyond that are not matched
+    near = F.levenshtein(a, b) <= (F.length(a) + F.length(b)) * (1 - NEAR_TYPO) + 1e-9
+    return F.when((a == "") | (b == ""), "divergent").when(a == b, "exact").when(cut, "truncation").when(sequence_ratio(F.when(near, a), b) >= NEAR_TYPO, "near_typo").otherwise("divergent")
 
 
 @pandas_udf(StringType())

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import close
-from ..functions.similarity import NEAR_TYPO, char_trigrams, code_relation, jaccard, overlap_of_larger, overlap_of_smaller, sequence_ratio
+from ..functions.similarity import KEYED_LENGTH, NEAR_TYPO, char_trigrams, code_relation, jaccard, jaccard_of_sets, overlap_of_larger, overlap_of_smaller, ratio_if_among_two
 from ..functions.text import norm_upper, semantic_tokens, tokens
+from ..lineage import cut
 from .sets import first_by
 
 
@@ -46,7 +47,7 @@ def cheap_score(r: str = "r_", b: str = "b_") -> Column:
     c = F.col
     return (
         overlap_of_larger(c(f"{r}tokens"), c(f"{b}tokens")) * 8 + overlap_of_smaller(c(f"{r}anchors"), c(f"{b}anchors")) * 4
-        + jaccard(c(f"{r}grams"), c(f"{b}grams")) * 6 + jaccard(c(f"{r}stems"), c(f"{b}stems")) * 7
+        + jaccard_of_sets(c(f"{r}grams"), c(f"{b}grams")) * 6 + jaccard(c(f"{r}stems"), c(f"{b}stems")) * 7
     )
 
 
@@ -56,26 +57,39 @@ def shortlist(pairs: DataFrame, ref_id: str, block_id: str, score: str, k: int =
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def full_score(pairs: DataFrame) -> DataFrame:
-    """Score and evidence of reference-block pairs with r_ and b_ columns: item, code, sig, tokens, anchors, grams, stems, unit, price, quant, bank."""
+def evidence(pairs: DataFrame) -> DataFrame:
+    """Reference-block pairs with r_ and b_ columns (item, code, tokens, anchors, grams, stems, unit, price, quant), how alike they are but for the order of characters, and the points for that."""
     c = F.col
     pairs = pairs.withColumns(
         {
-            "desc_ratio": sequence_ratio(c("r_sig"), c("b_sig")), "token_ratio": overlap_of_larger(c("r_tokens"), c("b_tokens")), "anchor_ratio": overlap_of_smaller(c("r_anchors"), c("b_anchors")),
-            "gram_ratio": jaccard(c("r_grams"), c("b_grams")), "stem_ratio": jaccard(c("r_stems"), c("b_stems")), "relation": code_relation(c("r_code"), c("b_code")),
+            "token_ratio": overlap_of_larger(c("r_tokens"), c("b_tokens")), "anchor_ratio": overlap_of_smaller(c("r_anchors"), c("b_anchors")),
+            "gram_ratio": jaccard_of_sets(c("r_grams"), c("b_grams")), "stem_ratio": jaccard(c("r_stems"), c("b_stems")), "relation": code_relation(c("r_code"), c("b_code")),
             "unit_equal": (c("r_unit") != "") & (c("r_unit") == c("b_unit")), "price_close": close(c("r_price"), c("b_price"), 0.05, 0.15), "quant_close": close(c("r_quant"), c("b_quant"), 0.05, 0.05),
             "same_item": (c("r_item") != "") & (c("r_item") == c("b_item")),
         }
     )
-    pairs = pairs.withColumn("peak", F.greatest("desc_ratio", "gram_ratio", "stem_ratio"))
     points = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
-    score = (
+    return pairs.withColumn(
+        "points",
         points(c("same_item"), 8) + F.when(c("relation") == "exact", 16.0).when(c("relation") == "truncation", 8.0).when(c("relation") == "near_typo", 4.0).otherwise(0.0)
-        + c("desc_ratio") * 10 + c("token_ratio") * 8 + c("anchor_ratio") * 4 + c("gram_ratio") * 6 + c("stem_ratio") * 7
+        + c("token_ratio") * 8 + c("anchor_ratio") * 4 + c("gram_ratio") * 6 + c("stem_ratio") * 7
         + points(c("unit_equal"), 3) + points(c("price_close"), 6) + points(c("quant_close"), 2)
-        + points((c("r_bank") == "PRÓPRIO") & (c("peak") >= 0.5), 2) + points(c("same_item") & (c("stem_ratio") >= 0.34) & c("price_close"), 2.5)
+        + points(c("same_item") & (c("stem_ratio") >= 0.34) & c("price_close"), 2.5),
     )
-    return pairs.withColumn("score", score)
+
+
+#: Points for a sequence ratio of 1, and for an own block whose peak is half or more.
+RATIO_POINTS, OWN_POINTS = 10.0, 2.0
+
+
+def own_points(peak: Column) -> Column:
+    return F.when((F.col("r_bank") == "PRÓPRIO") & (peak >= 0.5), OWN_POINTS).otherwise(0.0)
+
+
+def full_score(pairs: DataFrame) -> DataFrame:
+    """Peak and score of pairs that have ``evidence`` and desc_ratio."""
+    peak = F.greatest("desc_ratio", "gram_ratio", "stem_ratio")
+    return pairs.withColumn("peak", peak).withColumn("score", F.col("points") + F.col("desc_ratio") * RATIO_POINTS + own_points(F.col("peak")))
 
 
 def accepts(score: Column, second: Column) -> Column:
@@ -114,23 +128,44 @@ def price_step(price: Column) -> Column:
     return F.floor(F.signum(price) * scaled * 0.98).cast("long")
 
 
+def deletion_keys(df: DataFrame, code: str) -> DataFrame:
+    """Rows with each thing (column key) that is left of the code after up to as many deletions as a related code may ask for.
+
+    Codes with M characters in common, in order, of m and n <= m, are near typos only if
+    m + n - 2M <= t (m + n), t = 1 - NEAR_TYPO; so at most 2t / (1 + t) of the m go, and never more of the n.  A
+    truncated code lacks two.  Related codes so have a key in common; others may have one too.
+    """
+    t = 1 - NEAR_TYPO
+    depth = F.greatest(F.floor(F.length(code) * (2 * t / (1 + t)) + 1e-9), F.lit(2))
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    # every level holds the last one and what one more deletion leaves of it
+    grow = lambda keys, _: F.array_distinct(F.concat(keys, F.flatten(F.transform(F.filter(keys, lambda s: F.length(s) > 1), less))))
+    return df.withColumn("key", F.explode(F.aggregate(F.sequence(F.lit(1).cast("long"), depth.cast("long")), F.array(code), grow)))
+
+
 def hopeful(refs: DataFrame, blocks: DataFrame, ref_id: str) -> DataFrame:
     """The references for which some block of their bank could be accepted by ``accepts``: every rule there asks for a close price or a related code.
 
-    Prices meet by their steps.  Codes that are cut or mistyped differ by few edits.
-    Both only ask whether there is such a block; no pair is kept.
+    Prices meet by their steps, codes by what is left of them after deletions.  Pairs with a
+    code of over ``KEYED_LENGTH`` characters meet by bank and are told by their edits.  All this
+    only asks whether there is such a block; no pair is kept.
     """
     b = blocks.select(F.col("bank").alias("b_bank"), F.col("price").alias("b_price"), F.col("code").alias("b_code"))
     prices = b.where("b_price is not null").select("b_bank", "b_price", price_step(F.col("b_price")).alias("b_step")).distinct()
     seeks = refs.where("price is not null").select(ref_id, "bank", "price", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: price_step(F.col("price")) + k)).alias("step"))
     by_price = seeks.join(prices, (F.col("bank") == F.col("b_bank")) & (F.col("step") == F.col("b_step")) & close(F.col("price"), F.col("b_price"), 0.05, 0.15), "left_semi")
-    codes = b.where("b_code <> ''").select("b_bank", "b_code").distinct()
-    if len(codes.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:  # a few bytes each
-        codes = F.broadcast(codes)
-    p = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    edits = F.greatest(F.floor((F.length("code") + F.length("b_code")) * (1 - NEAR_TYPO)).cast("int"), F.lit(2))
-    by_code = refs.where("code <> ''").select(ref_id, "bank", "code").repartition(p, ref_id).join(codes, (F.col("bank") == F.col("b_bank")) & (F.abs(F.length("code") - F.length("b_code")) <= edits) & (F.levenshtein("code", "b_code") <= edits), "left_semi")
-    return by_price.select(ref_id).union(by_code.select(ref_id)).distinct()
+    p = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))  # few bytes, much work
+    left = refs.where("code <> '' and bank is not null").select(ref_id, "bank", "code").repartition(p, ref_id)
+    codes = b.where("b_code <> ''").select("b_bank", "b_code").repartition(p, "b_code").distinct()
+    edits = F.greatest(F.floor((F.length("code") + F.length("b_code")) * (1 - NEAR_TYPO) + 1e-9).cast("int"), F.lit(2))
+    near = (F.abs(F.length("code") - F.length("b_code")) <= edits) & (F.levenshtein("code", "b_code") <= edits)
+    keyed = deletion_keys(left.where(F.length("code") <= KEYED_LENGTH), "code")
+    known = deletion_keys(codes.where(F.length("b_code") <= KEYED_LENGTH), "b_code").withColumnRenamed("key", "b_key")
+    by_code = keyed.join(known, (F.col("bank") == F.col("b_bank")) & (F.col("key") == F.col("b_key")) & near, "left_semi")
+    # who is related to more than KEYED_LENGTH characters has over half as many
+    long = left.where(F.length("code") > KEYED_LENGTH / 2)
+    by_long = long.join(codes.where(F.length("b_code") > KEYED_LENGTH / 2), (F.col("bank") == F.col("b_bank")) & (F.greatest(F.length("code"), F.length("b_code")) > KEYED_LENGTH) & near, "left_semi")
+    return by_price.select(ref_id).union(by_code.select(ref_id)).union(by_long.select(ref_id)).distinct()
 
 
 def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id: str = "block_id", k: int = 48) -> DataFrame:
@@ -143,6 +178,8 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
     if any of it could be accepted at all (others have no score).
     Every reference is scored by itself, so the result does not depend on the order.
     """
+    # a row or a pair is a few bytes but much work, so partitions are set here and not by size
+    p = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     direct = refs.join(blocks.select(F.col(block_id), F.col("code").alias("bc"), F.col("bank").alias("bb")), (F.col("code") == F.col("bc")) & (F.col("bank") == F.col("bb")))
     direct = direct.groupBy(ref_id).agg(F.min(block_id).alias(block_id))
     rest = refs.join(direct.select(ref_id), ref_id, "left_anti")
@@ -150,25 +187,32 @@ def resolve(refs: DataFrame, blocks: DataFrame, ref_id: str = "ref_id", block_id
     family = F.explode(F.when(F.length("code") >= 6, F.array(F.col("code"), F.expr("substring(code, 1, length(code) - 1)"))).otherwise(F.array("code")))
     r, b = rest.withColumn("family", family), blocks.withColumn("family", family)
     pairs = candidates(rest, blocks.where("item <> ''"), [["bank", "item"]], ref_id, block_id).union(candidates(r, b, [["bank", "family"]], ref_id, block_id)).distinct()
+    pairs = cut(pairs)  # asked four times
     found = pairs.groupBy(ref_id).agg(F.count(F.lit(1)).alias("n"))
     few = rest.join(found.where("n < 12").select(ref_id), ref_id, "left_semi").where("unit <> ''")
     none = rest.join(found.select(ref_id), ref_id, "left_anti")
+    none = cut(none)
     none = none.join(hopeful(none, blocks, ref_id), ref_id, "left_semi")
-    pairs = pairs.union(candidates(few, blocks, [["bank", "unit"]], ref_id, block_id)).distinct().union(candidates(none, blocks, [["bank"]], ref_id, block_id))
+    # these two make many pairs of few rows: references are dealt out first, and a small side goes to them
+    small = len(blocks.select(block_id).limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS
+    ids = lambda *keys: F.broadcast(blocks.select(block_id, *keys)) if small else blocks.select(block_id, *keys)
+    by_unit = few.select(ref_id, "bank", "unit").repartition(p, ref_id).join(ids("bank", "unit"), ["bank", "unit"]).select(ref_id, block_id)
+    by_bank = none.select(ref_id, "bank").repartition(p, ref_id).join(ids("bank"), "bank").select(ref_id, block_id)
+    pairs = cut(pairs.union(by_unit).union(by_bank).repartition(p, ref_id).distinct()).repartition(p, ref_id)
     cols = ["code", "bank", "item", "unit", "price", "quant"]
-    left = features(rest.select(ref_id, "descricao", *[F.col(x).alias(f"r_{x}") for x in cols]), "descricao", "r_").drop("descricao")
-    right = features(blocks.select(block_id, "descricao", *[F.col(x).alias(f"b_{x}") for x in cols]), "descricao", "b_").drop("descricao")
+    left = features(rest.select(ref_id, "descricao", *[F.col(x).alias(f"r_{x}") for x in cols]).repartition(p, ref_id), "descricao", "r_").drop("descricao")
+    right = features(blocks.select(block_id, "descricao", *[F.col(x).alias(f"b_{x}") for x in cols]).repartition(p, block_id), "descricao", "b_").drop("descricao")
     # the cheap score sees all pairs: by hashes of the words, and texts follow for the shortlist only
     words = ["tokens", "anchors", "grams", "stems"]
     slim = lambda df, id_, x: df.select(id_, *[F.transform(f"{x}{c}", lambda v: F.xxhash64(v)).alias(f"{x}{c}") for c in words])
     b_slim = slim(right, block_id, "b_")
-    if len(blocks.select(block_id).limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:
+    if small:
         b_slim = F.broadcast(b_slim)
-    # a pair is a few bytes but much work, so its partitions are set here and not by size
-    p = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    pairs = pairs.repartition(p, ref_id)
     short = shortlist(pairs.join(slim(left, ref_id, "r_"), ref_id).join(b_slim, block_id).select(ref_id, block_id, cheap_score().alias("cheap")), ref_id, block_id, "cheap", k)
-    scored = full_score(short.join(left, ref_id).join(right, block_id).repartition(p, ref_id))
+    # only the best and the runner-up are asked for: texts of pairs that can be neither are not matched
+    known = evidence(short.join(left, ref_id).join(right, block_id).repartition(p, ref_id)).sortWithinPartitions(ref_id, F.col("points").desc(), block_id)
+    ratio = ratio_if_among_two(F.col(ref_id).cast("string"), "points", F.lit(RATIO_POINTS), own_points(F.lit(1.0)), "r_sig", "b_sig")
+    scored = full_score(known.withColumn("desc_ratio", ratio).where(F.col("desc_ratio").isNotNull()))
     w = Window.partitionBy(ref_id).orderBy(F.col("score").desc(), block_id)
     best = scored.withColumns({"place": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(-1.0))}).where("place = 1")
     best = best.withColumn("ok", accepts(F.col("score"), F.col("second"))).select(ref_id, F.when(F.col("ok"), F.col(block_id)).alias("guess"), F.round("score", 4).alias("score"))

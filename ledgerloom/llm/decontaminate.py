@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,28 @@ def read(texts: list[bytes], vocabulary: Vocabulary) -> Tokens:
     return Tokens(hashes, bounds, at[has], blocks[doc] + (has - bounds[doc]) // BLOCK, blocks)
 
 
+#: Rows added to one place by rounds; what a place gets beyond them is summed first.
+ROUNDS = 16
+
+
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray, which: np.ndarray) -> None:
+    """Adds ``rows[which]`` to ``out[at]``; ``at`` ascends and may repeat.
+
+    The k-th rows of all places are added together, as no place is among them twice.
+    """
+    if not len(at):
+        return
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    n = np.diff(first, append=len(at))
+    for k in range(min(ROUNDS, int(n.max()))):
+        some = first[n > k] + k
+        out[at[some]] += rows[which[some]]
+    rest = np.flatnonzero(np.arange(len(at)) - np.repeat(first, n) >= ROUNDS)
+    if len(rest):
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(at[rest]) != 0)))
+        out[at[rest[heads]]] += np.add.reduceat(rows[which[rest]], heads, axis=0)
+
+
 class Rows:
     """A row of numbers for each feature, to be summed over blocks.
 
@@ -144,9 +168,7 @@ class Rows:
         """The sum over the words of each block, and the counts."""
         counts = table, feature, block = self.counts(t)
         out = table @ self.top_rows
-        if len(feature):
-            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            out[block[first]] += np.add.reduceat(self.rows[feature], first, axis=0)
+        add_rows(out, block, self.rows, feature)
         return out, counts
 
 
@@ -231,10 +253,7 @@ def latent_basis(texts: DataFrame, items: Items, shared, rank: int, seed: int) -
                 y *= np.divide(1, square, out=np.zeros_like(square), where=square > 0)[:, None]
                 often += table.T @ y
                 order = np.argsort(feature, kind="stable")
-                f = feature[order]
-                if len(f):
-                    first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-                    z[f[first]] += np.add.reduceat(y[block[order]], first, axis=0)
+                add_rows(z, feature[order], y, block[order])
         z[weighted.top] += often
         z *= idf[:, None]
         places = [i for i in range(0, len(z), SLICE) if z[i : i + SLICE].any()]
@@ -259,18 +278,26 @@ def latent_basis(texts: DataFrame, items: Items, shared, rank: int, seed: int) -
     return frequency, idf, q @ vector[:, best]
 
 
-def common_words(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence; a bit for each word of ``a``."""
+def word_bits(a: list[int]) -> dict[int, int]:
+    """A bit for each place of a word in ``a``."""
     places: dict[int, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def _common(hits: list[int], size: int) -> int:
+    full = (1 << size) - 1
     state = full
-    for w in b:
-        if (at := places.get(w)) is not None:
-            hit = state & at
-            state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
+    for bits in hits:
+        hit = state & bits
+        state = ((state + hit) | (state - hit)) & full
+    return size - state.bit_count()
+
+
+def common_words(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence; a bit for each word of ``a``."""
+    return _common(list(filter(None, map(word_bits(a).get, b))), len(a))
 
 
 class Search:
@@ -290,6 +317,7 @@ class Search:
         self.queries = _unit(np.array(queries, np.float32)).T.copy()
         self.of = np.array(self.of)
         self.lists = [w.tolist() for w in items.words]
+        self.bits = [word_bits(w) for w in self.lists]
         # of each item its rarer words, and how many of them a run that holds it cannot lack; items by the blocks that a run may touch
         wide = np.array([(len(w) + SPARE - 2) // BLOCK + 2 for w in items.words])
         self.by_width = np.argsort(wide, kind="stable")
@@ -324,7 +352,11 @@ class Search:
     def holds(self, item: int, part: list[int]) -> tuple[float, float] | None:
         """Shares of item and answer that are in ``part``, if they are enough."""
         words = self.lists[item]
-        share = common_words(words, part) / len(words)
+        hits = list(filter(None, map(self.bits[item].get, part)))
+        # a common subsequence has no more words than there are hits, nor than places hit
+        if len(hits) / len(words) < self.min_common or reduce(or_, hits, 0).bit_count() / len(words) < self.min_common:
+            return None
+        share = _common(hits, len(words)) / len(words)
         if share < self.min_common:
             return None
         answer = words[-max(1, len(words) // 4) :]

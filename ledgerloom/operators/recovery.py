@@ -142,18 +142,28 @@ def compare_reference(unit_cost: Column, without_bdi: Column, quantity: Column,
 
 
 def occurrences(pages: DataFrame, identities: DataFrame, left: int = 260, right: int = 900) -> DataFrame:
-    """Where on the pages each code stands, with its bank within 45 characters, or alone where that is nowhere on the page.
+    """All places on the pages where a code stands by itself, with its bank within 45 characters, or alone where that is nowhere on the page.
 
-    Pages are cut into code-like words that meet the identities in an equi-join.
+    Pages are cut into code-like words that meet the identities in an equi-join; only
+    pages with the code are searched for its places.  A code inside a longer one is no place.
     """
     words = pages.select("page", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(rf"(?<![A-Z0-9])({CODE})(?![A-Z0-9])"), F.lit(1)))).alias("code"))
-    hits = words.join(identities.select("code", "bank"), "code")
-    at = F.instr(F.upper("text"), F.col("code"))
-    after = F.substring(F.upper("text"), at + F.length("code"), F.lit(45) + F.length("bank"))
-    window = F.substring("text", F.greatest(at - left, F.lit(1)), F.least(at - 1, F.lit(left)) + F.length("code") + right)
-    near = F.contains(after, F.upper("bank"))
-    confidence = F.when(near, 0.96).when(F.contains(F.upper(window), F.upper("bank")), 0.78).otherwise(0.65)
-    return hits.select("page", "code", "bank", F.when(near, "code_bank").otherwise("code_only").alias("match"), confidence.alias("confidence"), window.alias("window"))
+    hits = words.join(identities.select("code", F.coalesce("bank", F.lit("")).alias("bank")), "code")
+    alone = F.concat(F.lit(r"(?<![A-Z0-9])(?<![A-Z0-9][./-])\Q"), F.col("code"), F.lit(r"\E(?![A-Z0-9])(?![./-][A-Z0-9])"))
+    hits = hits.withColumn("pieces", F.split(F.upper("text"), alone)).where("size(pieces) > 1")
+    size, bank = F.length("code"), norm_upper(F.col("bank"))
+
+    def place(n: Column) -> Column:
+        at = F.length(F.array_join(F.slice("pieces", F.lit(1), n), "")) + (n - 1) * size + 1
+        after = F.substring(F.upper("text"), at + size, F.lit(45) + F.length("bank"))
+        window = F.substring("text", F.greatest(at - left, F.lit(1)), F.least(at - 1, F.lit(left)) + size + right)
+        near = F.contains(norm_upper(after), bank)
+        confidence = F.when(near, 0.96).when(F.contains(norm_upper(window), bank), 0.78).otherwise(0.65)
+        return F.struct(at.alias("at"), F.when(near, "code_bank").otherwise("code_only").alias("match"), confidence.alias("confidence"), window.alias("window"))
+
+    hits = hits.withColumn("places", F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), place))
+    paired = F.filter("places", lambda p: p["match"] == "code_bank")
+    return hits.select("page", "code", "bank", F.explode(F.when(F.size(paired) > 0, paired).otherwise(F.col("places"))).alias("p")).select("page", "code", "bank", "p.*")
 
 
 def printed_token(window: Column, current: Column, field: str) -> Column:

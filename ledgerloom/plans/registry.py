@@ -34,4 +34,4 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-from . import evidence, links, numbers, quality, reconciliation, recovery, sequences, texts  # noqa: E402,F401
+from . import evidence, links, numbers, quality, reconciliation, recovery, schemas, sequences, texts  # noqa: E402,F401

@@ -79,7 +79,7 @@ def merge_plan(tables: DataFrame, samples: DataFrame | None = None, table: str =
     words = samples.select(table, F.lower(F.trim("column")).alias("source"), F.explode(F.concat(kinds(F.col("text")), F.array(F.lit("any")))).alias("kind"))
     counts = words.groupBy(table, "source", "kind").agg(F.count(F.lit(1)).alias("n"))
     sampled = counts.where("kind = 'any'").select(table, F.lit(True).alias("sampled")).distinct()
-    found = sides.withColumn("kind", kind_of(F.col("missing"))).join(counts, [table, "source", "kind"], "left").join(sampled, table, "left")
+    found = sides.withColumn("kind", kind_of(F.col("missing"))).join(counts.hint("merge"), [table, "source", "kind"], "left").join(sampled.hint("merge"), table, "left")
     found = found.where("sampled is null or n > 0")
     best = found.groupBy(table, "missing").agg(F.min_by(F.struct("source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sampled", F.lit(False)).alias("sampled")), "side").alias("b"))
     return best.select(
@@ -96,17 +96,18 @@ def anomalies(columns: DataFrame, expected: DataFrame, table: str = "table_id")
     expected, give no row.
     """
     listed = lambda df, name: df.where("trim(canonical) <> ''").groupBy(table).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "canonical"))), lambda x: x["canonical"]).alias(name))
-    missing = gaps(listed(expected, "expected").join(listed(columns, "available"), table, "left"), table)
+    # merge: rows that come of arrays are many more than the file's size makes Spark think, and are not to be broadcast
+    missing = gaps(listed(expected, "expected").join(listed(columns, "available").hint("merge"), table, "left"), table)
     named = F.coalesce(F.when(clean("header") != "", F.col("header")), F.col("canonical"))
     heads = expected.groupBy(table, F.lower(F.trim("canonical")).alias("name")).agg(norm_upper(F.min_by(named, "index")).alias("head"))
-    rows = missing.join(heads.withColumnsRenamed({"name": "missing", "head": "own"}), [table, "missing"])
-    sides = rows.select(table, "missing", "own", F.explode(F.array_compact(F.array("left", "right"))).alias("name")).join(heads, [table, "name"])
+    rows = missing.join(heads.withColumnsRenamed({"name": "missing", "head": "own"}).hint("merge"), [table, "missing"])
+    sides = rows.select(table, "missing", "own", F.explode(F.array_compact(F.array("left", "right"))).alias("name")).join(heads.hint("merge"), [table, "name"])
     printed = columns.select(table, "index", F.lower(F.trim("canonical")).alias("name"), norm_upper(F.col("header")).alias("printed"))
-    fused = sides.join(printed, [table, "name"]).where((F.col("own") != F.col("head")) & F.contains("printed", F.col("own")) & F.contains("printed", F.col("head")))
+    fused = sides.join(printed.hint("merge"), [table, "name"]).where((F.col("own") != F.col("head")) & F.contains("printed", F.col("own")) & F.contains("printed", F.col("head")))
     fused = fused.groupBy(table, "missing").agg(F.min_by("name", F.struct("index", "name")).alias("fused_with"))
     code = F.when(F.col("fused_with").isNotNull(), "fused_header_detected").otherwise("missing_expected_column")
     severity = F.when(F.col("missing").isin(*CORE), "high").otherwise("medium")
-    return rows.join(fused, [table, "missing"], "left").select(table, "missing", "left", "right", code.alias("code"), severity.alias("severity"), "fused_with")
+    return rows.join(fused.hint("merge"), [table, "missing"], "left").select(table, "missing", "left", "right", code.alias("code"), severity.alias("severity"), "fused_with")
 
 
 def section_of(text: Column) -> Column:

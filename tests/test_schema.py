@@ -1,6 +1,7 @@
 """What tables lack, section headers, and all places of a code."""
 
 from ledgerloom.operators import recovery, schema
+from ledgerloom.plans import registry
 
 
 def test_gaps_of_nulls_repeats_and_nothing(spark):
@@ -34,3 +35,8 @@ def test_all_places_of_a_code(spark):
     got = sorted((r.page, r["at"], r.match, r.confidence) for r in recovery.occurrences(pages, ids).collect())
     second = text.index("93391 SINAPI") + 1
     assert got == [(1, second, "code_bank", 0.96), (1, text.rindex("93391") + 1, "code_bank", 0.96), (2, 1, "code_only", 0.65), (2, 10, "code_only", 0.65)]
+
+
+def test_nothing_that_comes_of_arrays_is_broadcast(spark, sf_dir):
+    for name in ("schema_anomalies", "missing_column_plan"):
+        assert "BroadcastHashJoin" not in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

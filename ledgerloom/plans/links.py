@@ -55,7 +55,7 @@ def alias_lookup(spark, sf_dir):
     refs, blocks = refs_and_blocks(spark, sf_dir)
     n = F.col("block_id")
     aliases = blocks.where(n % 4 == 0).select(F.expr("substring(code, 1, 7)").alias("alias"), "bank", F.col("code").alias("canonical"))
-    return linkage.lookup_with_alias(refs.withColumn("u", F.concat(F.lit("no"), F.col("ref_id").cast("string"))).select("ref_id", "code", "bank", "u"), blocks.withColumn("u", n.cast("string")), aliases, ["u"])
+    return linkage.lookup_with_alias(refs.withColumn("u", F.concat(F.lit("no"), F.col("ref_id").cast("string"))).select("ref_id", "code", "bank", "item", "u"), blocks.withColumn("u", n.cast("string")), aliases, ["u"], ("item",))
 
 
 @query("""SELECT p_partkey AS key, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' COM INSTALACAO' ELSE '' END AS budget_descricao, CASE WHEN p_partkey % 3 = 0 THEN 'UN' ELSE 'M' END AS budget_und, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' COM INSTALACAO' ELSE '' END AS composition_descricao, 'UN' AS composition_und FROM part""")

@@ -10,12 +10,13 @@ import difflib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .text import let, norm_upper
 
@@ -47,6 +48,18 @@ NEAR_TYPO = 0.82
 KEYED_LENGTH = 12
 
 
+@pandas_udf(ArrayType(StringType()))
+def left_after_deletions(codes: pd.Series) -> pd.Series:
+    """All that up to as many deletions leave of a code as a code related to it may ask for: see ``linkage.deletion_keys``."""
+    t = 1 - NEAR_TYPO
+    out = []
+    for code in codes:
+        n = len(code or "")
+        least = max(1, n - max(math.floor(n * (2 * t / (1 + t)) + 1e-9), 2))
+        out.append(list({"".join(x) for m in range(least, n + 1) for x in combinations(code, m)}) if n else ([] if code is None else [""]))
+    return pd.Series(out)
+
+
 def overlap_of_smaller(a: Column, b: Column) -> Column:
     return _share(a, b, F.least(F.size(a), F.size(b)))
 
@@ -68,6 +81,8 @@ def best_span(target: Column, text: Column) -> Column:
 
 
 def _ratio(a: str | None, b: str | None) -> float:
+    if a and a == b and len(a) < 200:  # from there on characters met too often are passed over
+        return 1.0
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import reconcile
 from ledgerloom.operators import recovery as V
 from ledgerloom.plans import lifecycle
 
@@ -132,3 +133,18 @@ def test_a_quantity_of_zero_is_refused_without_a_reason(spark):
     rows = spark.createDataFrame([("quant", "0,00"), ("quant", "-1"), ("quant", "1"), ("quant", "x"), ("total", "0,00")], "f string, v string")
     got = [(r.v.ok, r.v.reason) for r in rows.select(V.validate(F.col("f"), F.col("v")).alias("v")).collect()]
     assert got == [(False, ""), (False, ""), (True, ""), (False, "quantity_parse_failed"), (True, "")]
+
+
+def test_the_whole_run_parses_every_line_once(spark):
+    pages = spark.createDataFrame([("d", 24, PAGE)], "doc_id string, page int, text string")
+    plan = lifecycle.run(lifecycle.STAGES, {"pages": pages}).relations["math"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and "Join" not in plan
+
+
+def test_blocks_in_one_pass_are_as_in_two(spark):
+    rows = [("a", "P", 10.0), ("a", "r", 4.0), ("a", "r", 6.0), ("b", "P", 3.0), ("b", "P", 5.0), ("b", "r", None), ("c", "P", None), ("c", "r", 1.0), ("d", "P", 2.0), ("e", "r", 2.0)]
+    df = spark.createDataFrame(rows, "k string, kind string, amount double")
+    heads = df.where("kind = 'P'").groupBy("k").agg(F.max("amount").alias("declared"))
+    two = reconcile.component_status(heads, df.where("kind <> 'P'"), "k", "declared", "amount")
+    one = reconcile.block_status(df, ["k"], F.col("kind") == "P", "amount").select(two.columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))

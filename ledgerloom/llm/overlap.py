@@ -26,7 +26,7 @@ NAMED = 50_000
 FREQUENT = 500_000
 #: 64-bit words by which the tokens of a text are told at a glance.
 WORDS = 4
-#: Texts next to one another in a block that are tried first.
+#: Texts next to one another in a block that are tried before all.
 BESIDE = 3
 #: Texts a task remembers to have seen.
 SEEN = 1_000_000
@@ -199,28 +199,45 @@ def block_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np
         yield rows[:, 0], rows[:, 1], shared, least_shared(size[i[at]], size[j[at]], similarity)
 
 
-def chain_pairs(token: np.ndarray, same: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """Of each block the pairs of fitting size that stand at most ``BESIDE`` apart in the order of their names, as in ``block_pairs``."""
-    order = np.lexsort((same, token))
-    token, same, size = token[order], same[order], size[order]
-    i = np.concatenate([np.arange(max(0, len(token) - d)) for d in range(1, BESIDE + 1)])
-    j = i + np.repeat(np.arange(1, BESIDE + 1), [max(0, len(token) - d) for d in range(1, BESIDE + 1)])
-    good = (token[i] == token[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-    i, j = i[good], j[good]
+def shuffled(names: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers that put names in another order each turn."""
+    x = names.astype(np.int64).view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def chain_pairs(token: np.ndarray, same: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float, turn: int = 0) -> tuple[np.ndarray, ...]:
+    """Of each block, whose texts stand in an order of this turn, the pairs of a text with ``BESIDE`` after it
+    and with the nearest of unlike label on either side, as in ``block_pairs``; no more than a few for each row."""
+    order = np.lexsort((same, shuffled(same, turn), token))
+    token, same, label, size = (x[order] for x in (token, same, label, size))
+    start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (label[1:] != label[:-1]))))  # of runs of one label
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
+    row = np.arange(len(token))
+    i = [row[: max(0, len(row) - d)] for d in range(1, BESIDE + 1)] + [row[run < len(start) - 1], row[run > 0]]
+    j = [row[d:] for d in range(1, BESIDE + 1)] + [start[run[i[-2]] + 1], start[run[i[-1]]] - 1]
+    i, j = np.concatenate(i), np.concatenate(j)
+    good = (token[i] == token[j]) & (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+    pair = np.unique(np.sort(np.stack((i[good], j[good]), axis=1), axis=1), axis=0)  # once in a block
+    i, j = pair[:, 0], pair[:, 1]
+    swap = same[i] > same[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
     rows, at, shared = np.unique(np.stack((same[i], same[j]), axis=1), axis=0, return_index=True, return_counts=True)
     return rows[:, 0], rows[:, 1], shared, -(-least_shared(size[i[at]], size[j[at]], similarity) // 2)
 
 
-def pairs_in_blocks(blocks: DataFrame, label: DataFrame, similarity: float, one: bool) -> DataFrame:
+def pairs_in_blocks(blocks: DataFrame, label: DataFrame | None, similarity: float, turn: int | None = None) -> DataFrame:
     """a, b: pairs of unlike label that may be as similar as ``similarity``; a text not in ``label`` (same, label) is its own.
 
-    All pairs that meet in enough blocks, or with ``one`` only texts that labels are named by, each with a few beside it.
+    All pairs that meet in enough blocks, or with ``turn`` only a few for each text of a block, others each turn.
     """
     p = partitions(blocks.sparkSession)
-    rows = blocks.join(label, "same", "left").select("token", "same", F.coalesce("label", "same").alias("label"), "size")
-    if one:
-        rows = rows.where("same = label")
+    if label is None:
+        rows = blocks.select("token", "same", F.col("same").alias("label"), "size")
     else:
+        rows = blocks.join(label, "same", "left").select("token", "same", F.coalesce("label", "same").alias("label"), "size")
+    if turn is None:
         at = F.pmod(F.xxhash64("token"), F.lit(64 * WORDS))
         words = [F.bit_or(F.when(F.floor(at / 64) == w, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(token), {64 * WORDS}) % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
         rows = rows.join(blocks.groupBy("same").agg(F.count(F.lit(1)).alias("met"), *words), "same").select("token", "same", "label", "size", "met", *[f"w{w}" for w in range(WORDS)])
@@ -229,7 +246,7 @@ def pairs_in_blocks(blocks: DataFrame, label: DataFrame, similarity: float, one:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in whole_groups(batches, 1):
             token, same, label, size = (np.ascontiguousarray(c) for c in x[:, :4].T)
-            found = [chain_pairs(token, same, size, similarity)] if one else block_pairs(token, same, label, size, similarity, x[:, 4], np.ascontiguousarray(x[:, 5:]).view(np.uint64))
+            found = [chain_pairs(token, same, label, size, similarity, turn)] if turn is not None else block_pairs(token, same, label, size, similarity, x[:, 4], np.ascontiguousarray(x[:, 5:]).view(np.uint64))
             for columns in found:
                 yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "shared", "least"])
 

@@ -235,10 +235,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Two texts are linked if their shingle sets have a Jaccard similarity of
     ``similarity`` or more.  Fingerprints of the sets within ``budget`` bits propose links
-    first, in forests, which join large groups cheaply.  What they pass over is found by
-    ``overlap``, which loses no link between two of the groups: twice among texts that
-    groups are named by and that stand side by side, then by all pairs that may be similar
-    enough.  Proposals hold if the sets are.
+    first, in forests, which join large groups cheaply, and with them texts that stand side
+    by side in a block of ``overlap``.  Then every text is tried with a few that it is not
+    joined with yet, so that few groups are in more than one part when, last, all pairs of
+    unlike groups that may be similar enough are tried; so no link between two of the groups
+    is lost.  Proposals hold if the sets are.
     Texts of the same words are one node, whose smallest id stays.
     Texts without words are alike.  Null ids go first.  There is one way for every size.
     """
@@ -251,7 +252,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     named = rows.groupBy("same", "part").agg(F.min(F.struct("id", "own", "fp", "size")).alias("m")).groupBy("same").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
     nodes = cut(named.select("same", "parts", F.col("m.id").alias("first"), F.col("m.own").alias("own"), F.col("m.fp").alias("fp"), F.col("m.size").alias("size")))
     proposed = links(nodes.select(F.col("same").alias("first"), "fp", "size"), budget, size_ratio=similarity)
-    proposed = cut(proposed.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).distinct())
+    proposed = proposed.select(F.least("a.first", "b.first").alias("a"), F.greatest("a.first", "b.first").alias("b"))
     name = nodes.select("same", F.struct("first", "same").alias("node"))
 
     def holding(pairs: DataFrame) -> DataFrame:
@@ -265,21 +266,21 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         ab = ab.join(name.withColumnsRenamed({"same": "a", "node": "na"}), "a").join(name.withColumnsRenamed({"same": "b", "node": "nb"}), "b")
         return cut(ab.select(F.col("na").alias("a"), F.col("nb").alias("b")))
 
-    label = cut(components(holding(proposed)))
     blocks = cut(blocks_of_two(slim, _frequent(sketched), shingle, similarity))
     let_go(docs.sparkSession)
-    tested = None
-    for one in (True, True, False):
-        found = pairs_in_blocks(blocks, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), similarity, one)
-        if tested is not None:
-            found = cut(found.join(tested, ["a", "b"], "left_anti"))
-        tested = found if tested is None else tested.union(found)
+    tested = cut(proposed.union(pairs_in_blocks(blocks, None, similarity, turn=0)).distinct())
+    label = cut(components(holding(tested)))
+    for turn in (1, None):  # a few pairs of each text that are not joined yet, then all
+        let_go(docs.sparkSession)
+        found = pairs_in_blocks(blocks, label.select(F.col("node.same").alias("same"), F.col("label.same").alias("label")), similarity, turn)
+        found = cut(found.join(tested, ["a", "b"], "left_anti"))
         if found.isEmpty():
             continue
+        tested = tested.union(found)
         more = holding(found)
         if not more.isEmpty():
             label = cut(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
-        let_go(docs.sparkSession)
+    let_go(docs.sparkSession)
     gone_nodes = label.where("node <> label").select(F.col("node.same").alias("same"))
     lost = rows.join(nodes.select("same", F.explode("parts").alias("part"), "first", F.col("own").alias("first_own")), ["same", "part"])
     lost = lost.join(gone_nodes.withColumn("whole", F.lit(True)), "same", "left")

@@ -781,3 +781,25 @@ def test_oracle_sql(spark, sf_dir):
 
     for name, sql in queries.ORACLE_SQL.items():
         assert assert_same(queries.QUERIES[name], sql, spark, sf_dir) > 0
+
+
+def test_chain_pairs_try_texts_of_unlike_parts_and_grow_with_the_rows():
+    rng = np.random.default_rng(3)
+    found = {}
+    for n in (200, 1000):  # one block in forty tokens; two parts, one of them small; neither text that names a part need be similar to another's
+        same = np.sort(rng.choice(10**9, n, replace=False)).astype(np.int64)
+        part = np.where(np.arange(n) % 10 == 3, same[3], same[0])
+        token, rows = np.repeat(np.arange(40), n), [np.tile(x, 40) for x in (same, part, np.full(n, 200))]
+        turns = [overlap.chain_pairs(token, *rows, 0.8, turn) for turn in (1, 2)]
+        label = dict(zip(same.tolist(), part.tolist()))
+        for a, b, shared, least in turns:
+            assert all(label[x] != label[y] and x < y for x, y in zip(a.tolist(), b.tolist()))
+            assert (shared == 40).all() and (shared >= least).all()
+            assert set(a.tolist()) | set(b.tolist()) == set(same.tolist())  # every text is tried with one of the other part
+            assert len(a) <= (overlap.BESIDE + 2) * n
+        assert set(zip(*(x.tolist() for x in turns[0][:2]))) != set(zip(*(x.tolist() for x in turns[1][:2])))
+        found[n] = len(turns[0][0])
+    assert found[1000] <= 6 * found[200]
+    token, rows = np.zeros(2, np.int64), [np.array(x) for x in ([1, 2], [1, 2], [10, 13])]
+    assert not len(overlap.chain_pairs(token, *rows, 0.8)[0])  # sizes that cannot be similar
+    assert not len(overlap.chain_pairs(*[np.empty(0, np.int64)] * 4, 0.8)[0])

@@ -44,20 +44,14 @@ def overlap_of_larger(a: Column, b: Column) -> Column:
 #: Codes as alike as this are one, mistyped.
 NEAR_TYPO = 0.82
 
-#: Codes up to this length are found by what is left of them after deletions: 299 keys for 12 characters.
+#: Codes up to this length are found by what they must have in common: at most 220 keys for 12 characters and one length of the other code.
 KEYED_LENGTH = 12
 
 
 @pandas_udf(ArrayType(StringType()))
-def left_after_deletions(codes: pd.Series) -> pd.Series:
-    """All that up to as many deletions leave of a code as a code related to it may ask for: see ``linkage.deletion_keys``."""
-    t = 1 - NEAR_TYPO
-    out = []
-    for code in codes:
-        n = len(code or "")
-        least = max(1, n - max(math.floor(n * (2 * t / (1 + t)) + 1e-9), 2))
-        out.append(list({"".join(x) for m in range(least, n + 1) for x in combinations(code, m)}) if n else ([] if code is None else [""]))
-    return pd.Series(out)
+def subsequences(codes: pd.Series, lengths: pd.Series) -> pd.Series:
+    """All that is left of a code when it is cut down to a length, whichever characters go."""
+    return pd.Series([list({"".join(x) for x in combinations(code, n)}) for code, n in zip(codes, lengths)])
 
 
 def overlap_of_smaller(a: Column, b: Column) -> Column:
@@ -153,8 +147,8 @@ def code_relation(a: Column, b: Column) -> Column:
     """exact, truncation (one or two last characters missing), near_typo or divergent."""
     gap = F.abs(F.length(a) - F.length(b))
     cut = gap.between(1, 2) & (F.least(F.length(a), F.length(b)) >= 4) & (a.startswith(b) | b.startswith(a))
-    # no ratio exceeds what the edits leave in common; texts beyond that are not matched
-    near = F.levenshtein(a, b) <= (F.length(a) + F.length(b)) * (1 - NEAR_TYPO) + 1e-9
+    # no ratio exceeds what the edits leave in common; texts beyond that, and those told already, are not matched
+    near = (a != b) & ~cut & (F.levenshtein(a, b) <= (F.length(a) + F.length(b)) * (1 - NEAR_TYPO) + 1e-9)
     return F.when((a == "") | (b == ""), "divergent").when(a == b, "exact").when(cut, "truncation").when(sequence_ratio(F.when(near, a), b) >= NEAR_TYPO, "near_typo").otherwise("divergent")
 
 

@@ -112,7 +112,7 @@ def ratio_if_among_two(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Se
                 group, first, second = key, -math.inf, -math.inf
             a, b = a or "", b or ""
             most = base + weight + extra
-            if most >= second - 1e-9 and a and b:
+            if second > -math.inf and most >= second - 1e-9 and a and b:
                 most = base + weight * min(1.0, 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))) + extra
             if most < second - 1e-9:
                 out.append(None)
